@@ -6,6 +6,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,10 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches to Python get a bound in bytes, and a lower one in rows, for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Batches to Python get a bound in bytes, and a lower one in rows, for this session; workers find this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
