@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quarrylens.llm import bpe, line_dedup, mixing, quality, simhash
 from quarrylens.llm.common import read, stored
 
-#: Words a shingle and the radius of the near-duplicate stage: five words, and 3 of 64 bits would stand for about 0.95.
-SHINGLE_WORDS, RADIUS = 5, 2
+#: Near duplicates: words a shingle, and the least similarity of their sets.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs, radius=RADIUS, width=SHINGLE_WORDS)
+    return simhash.drop_near_duplicates(docs, similarity=SIMILARITY, width=SHINGLE_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,13 +77,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of its least id, and of equal ids that of the least text hash."""
-    found = near_duplicates(docs, id_col, text_col, radius, width)
-    keep = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("keep_id"))
+#: A wide fingerprint: so many words of 64 bits, cut into bands of 32 bits that balls of radius 1 are made around.
+WIDE_WORDS = 5
+BAND_BITS = 32
+
+
+def wide_fingerprint(text: str | None, width: int, words: int = WIDE_WORDS) -> list[int]:
+    """``words`` independent SimHashes of the ``width``-word shingles, as signed 64-bit integers. No words (or null): zeros."""
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return [0] * words
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width)))) if len(tokens) > width else [b" ".join(tokens)]
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+    out = []
+    for k in range(words):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            x = hashes[i : i + (1 << 16)] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # the splitmix64 finaliser
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0]))
+    return out
+
+
+def most_bits(similarity: float, words: int = WIDE_WORDS) -> int:
+    """Differing bits expected of two shingle sets of one size with this Jaccard similarity."""
+    return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id, component_id (least doc_id reached) by links of ``similarity`` or more, as wide fingerprints estimate it.
+
+    At a similarity of 0.8 about one bit in seven differs, too many for one ball. So each band of a wide fingerprint has its own:
+    fingerprints meet where a band differs in at most two bits. All that meet at a value are linked to the least and the
+    greatest there, and a link holds if all bits together differ as little as ``similarity`` allows.
+    With 10 bands, pairs at 0.8, 0.85 and 0.9 meet with chances of 0.71, 0.90 and 0.98.
+    """
+
+    def make():
+        return lambda i, text: (i, *wide_fingerprint(text, width))
+
+    fs = [f"f{k}" for k in range(WIDE_WORDS)]
+    marked = cut(map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, " + ", ".join(f"{f} long" for f in fs)))
+    classes = cut(marked.groupBy(*fs).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    halves = [F.shiftrightunsigned(f, at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for f in fs for at in (0, BAND_BITS)]
+    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(BAND_BITS)))])
+    near = classes.select("node", F.posexplode(F.array(*halves)).alias("band", "value"))
+    near = near.select("node", F.shiftleft(F.col("band").cast("long"), BAND_BITS).bitwiseOR(F.col("value")).alias("value"), F.explode(masks).alias("mask"))
+    near = near.select("node", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    met = Window.partitionBy("value")
+    pairs = near.select("node", F.min("node").over(met).alias("low"), F.max("node").over(met).alias("high")).filter("low <> high")
+    pairs = pairs.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = classes.select(F.col("node").alias("a"), *[F.col(f).alias(f"a_{f}") for f in fs])
+    two = classes.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in fs])
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fs), F.lit(0))
+    pairs = pairs.join(one, "a").join(two, "b").filter(apart <= most_bits(similarity)).select("a", "b")
+    linked = components(pairs)
+    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(firsts, "root").select(*fs, "component_id")
+    return marked.join(named, fs).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component of ``similar_documents``: that of its least id, and of equal ids that of the least text hash."""
+    found = similar_documents(docs, id_col, text_col, similarity, width)
+    keep = found.select(F.col("component_id").alias("keep_id")).distinct()
     turn, key = fresh(docs, "turn", "key")
     kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    # ids are few and their rows with one id fewer: a window by id, not by component
+    # rows with one id are few: a window by id, not by component
     order = Window.partitionBy(id_col).orderBy(F.col(key))
     kept = kept.withColumn(key, F.xxhash64(F.col(text_col))).withColumn(turn, F.row_number().over(order))
     return kept.filter(F.col(turn) == 1).select(*docs.columns)
