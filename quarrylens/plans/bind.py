@@ -21,3 +21,21 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     return _NAME.sub(r"\1", sql)
+
+
+def bound(op, **projections: str):
+    """(query, SQL for the other engine) of an SqlOp whose inputs are projections: SQL over the fixed tables, or over earlier inputs.
+
+    A projection may be an SqlOp itself, whose inputs come before it.
+    """
+    sqls = {k: getattr(p, "sql", p) for k, p in projections.items()}
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held: dict[str, DataFrame] = {}
+        for name, sql in [*sqls.items(), ("", op.sql)]:
+            names = sorted(set(_NAME.findall(sql)))
+            held[name] = spark.sql(sql, **{n: held[n] if n in held else tables(spark, sf_dir, n)[0] for n in names})
+        return held[""]
+
+    steps = ", ".join(f"{k} AS ({duck(s)})" for k, s in sqls.items())
+    return query, f"WITH {steps} SELECT * FROM ({duck(op.sql)}) AS result"
