@@ -75,7 +75,7 @@ def raw_sql_changes(statements: DataFrame) -> DataFrame:
     made = F.regexp_extract("s", _CREATE, 2) != ""
     name = F.when(made, F.regexp_extract("s", _CREATE, 2)).otherwise(F.regexp_extract("s", _DROP, 1))
     table = F.when(made, F.regexp_extract("s", _CREATE, 3)).otherwise(F.regexp_extract("s", _DROP, 2))
-    csv = F.array_join(F.filter(F.transform(F.split(F.regexp_extract("s", _CREATE, 4), ","), F.trim), lambda c: c != ""), ",")
+    csv = F.array_join(F.filter(F.transform(F.split(F.regexp_extract("s", _CREATE, 4), ","), lambda c: F.trim(c)), lambda c: c != ""), ",")
     rows = one.select("seq", "p", F.when(made, "createIndex").otherwise("dropIndex").alias("kind"), F.nullif(table, F.lit("")).alias("table_name"), name.alias("object_name"), F.when(made, csv).alias("column_csv"), (F.trim(F.regexp_extract("s", _CREATE, 1)) != "").alias("is_unique"))
     return rows.filter("object_name <> ''").drop("p")
 

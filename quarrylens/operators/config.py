@@ -68,7 +68,7 @@ HAS_DEPENDENCY = SqlOp("Projects with each asked dependency, by group and artifa
 MISSING_DEPENDENCY = SqlOp("Rules whose trigger a project has and whose need it lacks.", "SELECT DISTINCT d.project, r.needs FROM {dependencies} d JOIN {rules} r ON r.has = d.ga WHERE NOT EXISTS (SELECT 1 FROM {dependencies} e WHERE e.project = d.project AND e.ga = r.needs)")
 IMPORT_HITS = SqlOp("Classes an import rule is about: the package itself or below it.", "SELECT DISTINCT i.class_fqn, r.rule FROM {imports} i JOIN {rules} r ON i.name = r.prefix OR left(i.name, length(r.prefix) + 1) = concat(r.prefix, '.')")
 KEY_HITS = SqlOp("Files a key rule is about: the key itself or below it.", "SELECT DISTINCT p.file, r.rule FROM {properties} p JOIN {rules} r ON p.key = r.prefix OR left(p.key, length(r.prefix) + 1) = concat(r.prefix, '.')")
-ROLL_UP = SqlOp("Success of a run and its number of changes: no errors, no phase with critical ones.", "SELECT run, sum(CASE WHEN kind = 'change' THEN 1 ELSE 0 END) AS changes, sum(CASE WHEN kind IN ('error', 'critical') THEN 1 ELSE 0 END) = 0 AS successful FROM {results} GROUP BY run")
+ROLL_UP = SqlOp("Success of a run and its number of changes: no errors, no phase with critical ones.", "SELECT run, count(CASE WHEN kind = 'change' THEN 1 END) AS changes, count(CASE WHEN kind IN ('error', 'critical') THEN 1 END) = 0 AS successful FROM {results} GROUP BY run")
 WITHOUT_ASSERTION = SqlOp("Tests from which no assertion is reached.", "SELECT t.test FROM {tests} t WHERE NOT EXISTS (SELECT 1 FROM {asserting} a WHERE a.node = t.test)")
 LIVE_URLS = SqlOp("Connection URLs of real servers: no in-memory database, no local host, no placeholder.", "SELECT url, NOT (instr(url, ':h2:') > 0 OR instr(url, ':hsqldb:') > 0 OR instr(url, ':derby:') > 0 OR instr(url, 'localhost') > 0 OR instr(url, '127.0.0.1') > 0 OR left(url, 2) = '$' || chr(123)) AND instr(url, 'jdbc:') > 0 AS live FROM {urls}")
 CONTAINERS = SqlOp("Container types by field type.", "SELECT field, CASE WHEN instr(type_text, 'PostgreSQLContainer') > 0 THEN 'POSTGRESQL' WHEN instr(type_text, 'MySQLContainer') > 0 THEN 'MYSQL' WHEN instr(type_text, 'MariaDBContainer') > 0 THEN 'MARIADB' WHEN instr(type_text, 'KafkaContainer') > 0 THEN 'KAFKA' WHEN instr(type_text, 'Redis') > 0 THEN 'REDIS' WHEN instr(type_text, 'MongoDBContainer') > 0 THEN 'MONGODB' ELSE 'NONE' END AS container FROM {fields}")

@@ -28,12 +28,12 @@ PRICES = {
     "gpt-4": (30.00, 30.00, 60.00, 60.00, 0.25, 128000),
 }
 
-COUNTERS = SqlOp("Counters by repository, and their total in the row without one.", "SELECT repo, count(*) AS n_queries, sum(changed) AS n_changed FROM {runs} GROUP BY ROLLUP (repo)")
+COUNTERS = SqlOp("Counters by repository, and their total in the row without one.", "SELECT repo, count(*) AS n_queries, CAST(sum(changed) AS BIGINT) AS n_changed FROM {runs} GROUP BY ROLLUP (repo)")
 DEDUPED = SqlOp("The first row of each (repository in lower case, queries, annotations), and how many there were.", "SELECT lower(trim(repo)) AS repo_key, queries, annotations, min(line_no) AS line_no, min_by(repo, line_no) AS repo, count(*) AS n FROM {lines} WHERE trim(repo) <> 'repository' GROUP BY lower(trim(repo)), queries, annotations")
 COSTS = SqlOp("Input and output cost; the tier goes by input tokens for both, cached tokens cost their share.", """
-SELECT u.id, round((u.input_tokens - u.cached_tokens) / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END + u.cached_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END * p.cached, 9) AS input_cost,
- round(u.output_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.out_low ELSE p.out_high END, 9) AS output_cost FROM {used} u JOIN {prices} p ON p.model = u.model""")
-USAGE = SqlOp("Tokens by model and the share of cached ones in percent, 0 without tokens.", "SELECT model, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, CASE WHEN sum(input_tokens) = 0 THEN 0.0 ELSE round(sum(cached_tokens) * 100.0 / sum(input_tokens), 6) END AS cached_percent FROM {used} GROUP BY model")
+SELECT u.id, CAST(round((u.input_tokens - u.cached_tokens) / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END + u.cached_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END * p.cached, 12) AS DOUBLE) AS input_cost,
+ CAST(round(u.output_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.out_low ELSE p.out_high END, 12) AS DOUBLE) AS output_cost FROM {used} u JOIN {prices} p ON p.model = u.model""")
+USAGE = SqlOp("Tokens by model and the share of cached ones in percent, 0 without tokens.", "SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(CASE WHEN sum(input_tokens) = 0 THEN 0.0 ELSE round(sum(cached_tokens) * 100.0 / sum(input_tokens), 6) END AS DOUBLE) AS cached_percent FROM {used} GROUP BY model")
 TO_DO = SqlOp("Types still to do: targeted, if any are, not skipped, not done.", "SELECT t.name FROM {types} t WHERE NOT EXISTS (SELECT 1 FROM {skipped} s WHERE s.name = t.name) AND NOT EXISTS (SELECT 1 FROM {done} d WHERE d.name = t.name)")
 MAJORITY = SqlOp("The commonest value of each group, ties to the least.", "SELECT grp, value FROM (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, value) AS n FROM {pairs} GROUP BY grp, value) x WHERE n = 1")
 

@@ -147,8 +147,9 @@ def _profiles(s, d):
 
 
 def _parsed(s, d):
-    text = """concat('```json\n{"issues": [{"sourceTable": "', n_name, '", "baseTable": "b', n_nationkey, '", "newTables": ["x", "y"]}]}\n```')"""
-    p = normalize.parsed_plans(rows(s, d, f"SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'no json' ELSE {text} END AS text FROM {{nation}}"))
+    n = rows(s, d, "SELECT n_nationkey, n_name FROM {nation}")
+    text = F.format_string('```json\n{"issues": [{"sourceTable": "%s", "baseTable": "b%d", "newTables": ["x", "y"]}]}\n```', "n_name", "n_nationkey")
+    p = normalize.parsed_plans(n.select("n_nationkey", F.when(F.col("n_nationkey") % 5 == 0, "no json").otherwise(text).alias("text")))
     return p.select("n_nationkey", F.col("plan.sourceTable").alias("source_table"), F.col("plan.baseTable").alias("base_table"), F.size("plan.newTables").alias("n_tables"))
 
 
@@ -226,6 +227,8 @@ CASE dialect WHEN 'POSTGRESQL' THEN 'DROP INDEX CONCURRENTLY IF EXISTS ' || name
     "a12_changeset_ids": f"WITH c AS ({duck(COMPOSITES)}) SELECT *, 'idx_1700000000000_' || table_name || '_' || row_number() OVER (PARTITION BY table_name ORDER BY column_csv) AS changeset_id FROM c",
     "a15_schema_text": f"WITH c AS ({duck(CARDS)}) SELECT table_name, table_name || ' (' || string_agg(column_name || ':' || cardinality, ', ' ORDER BY column_name || ':' || cardinality) || ')' AS schema FROM c GROUP BY table_name",
     "x1_conditions": f"WITH {_SCAN} SELECT * FROM sc",
+    "x15_where_text": "SELECT o_orderkey AS query_id, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN concat('o.status = ? AND c.k', o_custkey % 7, ' > 5') WHEN 1 THEN concat('user_id = ? AND k', o_custkey % 7, ' NOT LIKE ''x%''') WHEN 2 THEN concat('k', o_custkey % 7, ' BETWEEN ? AND ?') WHEN 3 THEN 'x IS NULL' END AS where_text FROM orders",
+    "n17_case_conversion": "WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part), p AS (SELECT p_partkey, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM w) SELECT p_partkey, pascal, lower(pascal[1]) || pascal[2:] AS camel FROM p",
     "x17_where_clause": f"WITH {_SCAN} SELECT query_id, string_agg(column_name || ' ' || operator || ' ?', ' AND ' ORDER BY position) AS clause FROM sc WHERE kind = 'WHERE' AND table_name <> 'b' GROUP BY query_id",
     "x18_first_condition": f"WITH {_SCAN} SELECT query_id, column_name FROM sc WHERE kind = 'WHERE' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position, column_name) = 1",
     "x19_first_table": "SELECT o_orderkey AS query_id, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'orders' WHEN 2 THEN 'log' WHEN 3 THEN 'a' END AS table_name FROM orders",
