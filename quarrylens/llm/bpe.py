@@ -20,7 +20,6 @@ import re
 import struct
 import unicodedata
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +29,7 @@ END = "</w>"
 #: White space of the files' pattern language, which lacks 1C to 1F.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How the file splits words: letters, common English endings, single digits, runs of anything else.
-_PIECES = regex.compile(rf"\p{{L}}+|'(?:s|t|re|ve|m|ll|d)|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_LATIN = "\u0250"  # below it, classes are spelled out, for a faster engine
+_LATIN = "\u0250"  # below it, classes are spelled out; texts with others are normalized and split by the library, whose tables of classes may be of another age
 
 
 def _latin_pieces() -> re.Pattern:
@@ -184,11 +182,11 @@ class Automaton:
 class _Words(dict):
     """Pre-split word to (number of tokens, ids as bytes, decoded)."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, word: str) -> tuple[int, bytes, str]:
-        out = self.tokenizer.word(word)
+        out = self.encode(word)
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -206,11 +204,18 @@ class Tokenizer:
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special_text = {i: t for t, i in self.special.items()}
-        self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = _Words(self)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        from tokenizers import Tokenizer as Library
+
+        library = Library.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.words, self.lettered = _Words(self.word), _Words(self.letter_word)
 
     def word(self, word: str) -> tuple[int, bytes, str]:
-        ids = self.automaton.encode(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
+        return self.letter_word(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
+
+    def letter_word(self, letters: str) -> tuple[int, bytes, str]:
+        ids = self.automaton.encode(letters)
         return len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join([self.automaton.text[i] for i in ids])
 
     def parts(self, text: str) -> list[tuple[int, bytes, str]]:
@@ -223,12 +228,11 @@ class Tokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[tuple[int, bytes, str]]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # letter by letter: no final sigma
-        pieces = _ASCII_PIECES if text.isascii() else _LATIN_PIECES if max(text) < _LATIN else _PIECES
+        if not text.isascii() and max(text) >= _LATIN:
+            return [self.lettered[w] for w, _ in self.split(self.normalize(text))]
+        text = text.lower()  # below _LATIN all is composed already
         words = self.words
-        return [words[w] for w in pieces.findall(text)]
+        return [words[w] for w in (_ASCII_PIECES if text.isascii() else _LATIN_PIECES).findall(text)]
 
     def encode(self, text: str) -> list[int]:
         data = b"".join(p[1] for p in self.parts(text))
