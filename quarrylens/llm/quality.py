@@ -7,8 +7,9 @@ The joined tables have at most ``ALPHABET ** ORDER`` rows a language and at most
 sent to the tasks; there they are interpolated into one table of log probabilities, and a document is scored by looking up
 each of its characters. (A shuffle join of every document's n-grams would move several times the input.)
 
-A document is kept if its perplexity is at most its language's threshold: a quantile over all trusted documents of that language,
-with room for the spread of short texts. Languages without trusted text, and null, use the model and threshold of all languages together.
+Trusted documents are dealt in halves by a hash of their ids: one is what the model is fitted on, the other, which it has not seen,
+gives the thresholds. A document is kept if its perplexity is at most its language's threshold: a quantile over that language's
+unseen trusted documents, with room for few of them and for the spread of short texts. Languages without trusted text, and null, use the model and threshold of all languages together.
 Null or empty text has no perplexity and is not kept. Without any trusted document nothing can be judged, and all with text are kept.
 """
 
@@ -38,7 +39,7 @@ ALL = "*"
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, lang_col: str, text_col: str, limit: int) -> DataFrame:
     """(lang, text) of up to ``limit`` trusted documents a language, the same at each run."""
-    ids = labels.filter("quality = 1").select(F.col("doc_id").alias("tid")).distinct()
+    ids = labels.filter("quality = 1").select(F.col("doc_id").alias("tid")).filter(_half("tid") == 0).distinct()
     known = docs.select(F.col(id_col).alias("tid"), F.coalesce(lang_col, F.lit(ALL)).alias("lang")).join(ids, "tid")
     share = known.groupBy("lang").agg(F.count("*").alias("n"))
     rows = known.join(F.broadcast(share.orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)), "lang")
@@ -48,6 +49,11 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, lang_col: st
     return docs.join(chosen, F.col(id_col) == F.col("tid"), "left_semi").select(F.coalesce(lang_col, F.lit(ALL)).alias("lang"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
 
 
+def _half(id_col: str):
+    """0 for documents that may be fitted on, 1 for those that thresholds come from."""
+    return F.pmod(F.xxhash64(F.lit("half"), F.col(id_col)), F.lit(2))
+
+
 def _symbols(text: str, alphabet: np.ndarray) -> np.ndarray:
     """Classes of a text's characters, after ORDER - 1 line ends. ``alphabet``: class of each character below 65,536."""
     codes = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -172,11 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> dict[str, float]:
-    """Language to the quantile of its trusted documents' perplexities, from all of them. ``scored``: doc_id, lang, perplexity."""
+    """Language to the quantile of its unseen trusted documents' perplexities, from all of them, wider where they are few. ``scored``: doc_id, lang, perplexity."""
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    held = scored.filter("perplexity IS NOT NULL").join(good, "doc_id").select(F.explode(F.array(F.coalesce("lang", F.lit(ALL)), F.lit(ALL))).alias("lang"), "perplexity")
-    rows = held.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("t")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES + 1)
-    return {r["lang"]: r["t"] for r in rows.collect()}
+    held = scored.filter("perplexity IS NOT NULL").join(good, "doc_id").select(_half("doc_id").alias("half"), F.explode(F.array(F.coalesce("lang", F.lit(ALL)), F.lit(ALL))).alias("lang"), "perplexity")
+    rows = held.groupBy("lang", "half").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("t"))
+    # few documents can all be in the half that was fitted on; then that has to do
+    best = rows.groupBy("lang").agg(F.max(F.struct("half", "n", "t")).alias("b")).orderBy(F.col("b.n").desc(), "lang").limit(MAX_LANGUAGES + 1)
+    return {r["lang"]: r["b"]["t"] * (1 + 1 / math.sqrt(r["b"]["n"])) for r in best.collect()}
 
 
 def _limit(by_lang: dict[str, float], lang, n):
@@ -184,7 +192,7 @@ def _limit(by_lang: dict[str, float], lang, n):
     if not by_lang:
         return F.lit(float("inf"))
     table = F.create_map(*[F.lit(x) for pair in by_lang.items() for x in pair])
-    own = F.coalesce(table[F.coalesce(lang, F.lit(ALL))], F.lit(by_lang[ALL]))
+    own = F.coalesce(table[F.coalesce(lang, F.lit(ALL))], F.lit(by_lang.get(ALL, max(by_lang.values()))))
     return own * (F.lit(MARGIN) + F.lit(SHORT) / F.greatest(n, F.lit(1)))
 
 
