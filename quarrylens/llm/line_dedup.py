@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import WORD, fresh, stored
+from quarrylens.llm.common import WORD, cut, fresh, stored
 
 #: A boundary falls after a line by this chance: chunks have so many lines on average.
 BOUNDARY = 16
@@ -33,7 +33,8 @@ def _repeated_lines(marked: DataFrame) -> DataFrame:
     """(id, th, pos, h, words, n): lines whose hash occurs more than once, with its count."""
     lines = marked.select("id", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
-    counts = lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # from a checkpoint, the counts bring no partitioning of their own: a hot line's share of the join can be split
+    counts = cut(lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     return lines.join(counts, "h")
 
 
@@ -56,13 +57,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, boundary: int =
     """(id, th, spans): line ranges to remove, by id and text hash; only documents that have any."""
     marked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     chunks = _chunks(_repeated_lines(marked), boundary, long_words)
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    chunks = cut(chunks)
+    again = cut(chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     found = chunks.join(again, "hash").groupBy("id", "th").agg(F.collect_list(F.struct("hash", "a", "b")).alias("chunks"))
     found = found.select(F.col("id").alias("fid"), F.col("th").alias("fth"), "chunks")
     whole = marked.join(found, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid"))).withColumn("lines", _lines(F.col("text")))
     piece = whole.select("id", "th", "lines", F.explode("chunks").alias("c")).select("id", "th", "c.*", F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1), "\n").alias("bytes"))
     piece = stored(piece, "line-chunks")
-    first = piece.groupBy("hash", "bytes").agg(F.min(F.struct("id", "th", "a")).alias("first"))
+    first = stored(piece.groupBy("hash", "bytes").agg(F.min(F.struct("id", "th", "a")).alias("first")), "first-chunks")
     later = piece.join(first, ["hash", "bytes"]).filter(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
@@ -77,8 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn(lines, F.when(F.col(spans).isNotNull(), all_lines))
     going = F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"])))
     out = out.withColumn(keep, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), going))
-    cut = F.array_join(F.transform(keep, lambda i: F.element_at(F.col(lines), i + 1)), "\n")
-    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(cut)
+    left = F.array_join(F.transform(keep, lambda i: F.element_at(F.col(lines), i + 1)), "\n")
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(left)
     names = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
     if removed_col:
         names.append(F.coalesce(F.when(F.col(spans).isNotNull(), F.size(lines) - F.size(keep)), F.lit(0)).cast("long").alias(removed_col))
