@@ -76,3 +76,24 @@ def validated_changelog(xml: str | None) -> tuple[list[str], list[str]]:
             if sql.count("(") != sql.count(")") or first not in {"CREATE", "DROP", "ALTER", "INSERT", "UPDATE", "DELETE", "SELECT", "WITH", "COMMENT", "GRANT"}:
                 errors.append(f"raw SQL not readable: {sql.strip()[:80]}")
     return errors, [f"{len(changes)} changes"]
+
+
+def changeset(kind: str, dialects: tuple[str, ...] = (), **given: str) -> tuple[str, str]:
+    """(SQL, rollback) of the other changes: rename_table, drop_foreign_key, create_view, sql; with dialects, a comment names them."""
+    if kind == "rename_table":
+        out = f"ALTER TABLE {given['old']} RENAME TO {given['new']};", f"ALTER TABLE {given['new']} RENAME TO {given['old']};"
+    elif kind == "drop_foreign_key":
+        back = f"ALTER TABLE {given['table']} ADD CONSTRAINT {given['name']} FOREIGN KEY ({given['column']}) REFERENCES {given['ref_table']} ({given['ref_column']});"
+        out = f"ALTER TABLE {given['table']} DROP CONSTRAINT {given['name']};", back
+    elif kind == "create_view":
+        out = f"CREATE VIEW {given['name']} AS {given['query']};", f"DROP VIEW {given['name']};"
+    elif kind == "sql":
+        out = given["sql"], given.get("rollback", "")
+    else:
+        raise ValueError(f"no such change: {kind}")
+    return (f"-- dialects: {', '.join(dialects)}\n{out[0]}" if dialects else out[0]), out[1]
+
+
+def composite(changes: list[tuple[str, str]]) -> tuple[str, str]:
+    """Several changes as one: rollbacks run in reverse."""
+    return "\n".join(sql for sql, _ in changes), "\n".join(back for _, back in reversed(changes) if back)

@@ -230,3 +230,18 @@ def test_edge_stream(spark, tmp_path):
         edges.append_batches(edges.edge_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = edges.graph_table(spark, str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0]["attributes"] == {"k": "2", "own1": "x", "own2": "x"}
+
+
+def test_other_changes():
+    rename = sinks.changeset("rename_table", old="a", new="b")
+    view = sinks.changeset("create_view", ("POSTGRESQL",), name="a", query="SELECT 1")
+    assert sinks.composite([rename, view]) == ("ALTER TABLE a RENAME TO b;\n-- dialects: POSTGRESQL\nCREATE VIEW a AS SELECT 1;", "DROP VIEW a;\nALTER TABLE b RENAME TO a;")
+    assert sinks.changeset("drop_foreign_key", table="o", name="fk", column="u", ref_table="users", ref_column="id")[1].startswith("ALTER TABLE o ADD CONSTRAINT fk")
+    with pytest.raises(ValueError, match="no such change"):
+        sinks.changeset("other")
+
+
+def test_usage_helpers(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b", "a"]), (["a"], ["x"]), ([], [])], "old array<string>, new array<string>")
+    got = [r[0] for r in df.select(usage.position_mapping("old", "new")).collect()]
+    assert got == [{0: 1, 1: 0}, {}, {}]
