@@ -23,7 +23,7 @@ from quarrylens.llm.common import map_rows
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
-_END_OF_WORD = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_CAMEL, _NOT_LETTERS = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z]+")
 
 #: Elements whose content is never page text; the first four hold raw characters.
 _RAW = frozenset("script style textarea title".split())
@@ -36,6 +36,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar related recommended share sharing social comment comments reply replies respond disqus breadcrumb breadcrumbs menu nav navbar navigation footer header masthead popup modal pagination pager toolbar widget copyright disclaimer".split()
 )
+_ABOUT = frozenset("has with no without layout main".split())
 _ARTICLES = frozenset("article main".split())
 #: A start of these ends an open one of the same set, up to the nearest container.
 _SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -55,8 +56,9 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value.lower() in _ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body") and tag not in _ARTICLES:
-            words = {w.lower() for w in _END_OF_WORD.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).replace("_", " ")) if w} | set(re.split(r"[^a-z]+", value.lower()))
-            if words & _NAMES - ({"header"} if in_article else set()):
+            words = {w for v in (value, _CAMEL.sub(" ", value)) for w in _NOT_LETTERS.split(v.lower())}
+            # "with-sidebar" or "main-layout no-footer" tell of a page, not of its furniture
+            if words & _NAMES - ({"header"} if in_article else set()) and not words & _ABOUT:
                 return True
     return False
 

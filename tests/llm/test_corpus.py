@@ -168,6 +168,8 @@ def test_tree_on_pages_without_article():
     text = "This is a long paragraph of main text that goes on and on, so that it has enough words to be told from the rest of the page."
     page = f"<div><a href=1>One</a> <a href=2>Two</a></div><p>{text}</p><p>{text}</p><div><a href=3>Next page</a></div>"
     assert html_extract.main_text(page) == f"{text}\n{text}"
+    inside = f'<div class="with-sidebar"><p>{text}</p><div class="sideBar"><p>{text}</p></div><div id="user_comments"><p>{text}</p></div></div>'
+    assert html_extract.main_text(inside) == text
 
 
 @pytest.fixture(scope="module")
