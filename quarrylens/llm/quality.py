@@ -31,7 +31,7 @@ ALPHABET = 40
 MAX_LANGUAGES = 64
 #: The most trusted documents of a language that the model is fitted on; thresholds use them all.
 SAMPLE_DOCS = 600
-QUANTILE = 0.99
+QUANTILE = 0.98
 #: Room above the quantile: a factor, and one that falls with the number of characters.
 MARGIN, SHORT = 1.15, 8.0
 ALL = "*"
