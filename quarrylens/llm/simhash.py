@@ -14,29 +14,37 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, fresh, map_rows
+from quarrylens.llm.common import cut, fresh, map_rows, stored
 from quarrylens.llm.graphs import components
 
 SEED = 42
 RADIUS = 2
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of the ``width``-word shingles, repeats included. No words (or null): 0."""
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, repeats included; of a shorter text, the hash of all its words."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.array([], np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Signed 64-bit SimHash of the ``width``-word shingles, repeats included. No words (or null): 0."""
+    return _majority(_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, keep: tuple = (), width: int = 3) -> DataFrame:
     """(id, fp long) of each row; ``width`` words a shingle."""
 
@@ -77,70 +85,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: A wide fingerprint: so many words of 64 bits, cut into bands of 32 bits that balls of radius 1 are made around.
-WIDE_WORDS = 5
-BAND_BITS = 32
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(row, doc_id, th, node, fp, n, shingles): the distinct shingle hashes of each row in order; node: a hash of them all."""
+    import xxhash
+
+    def make():
+        def one(i, th, text):
+            hashes = _hashes(text, width)
+            distinct = np.unique(hashes)
+            node = xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
+            return i, th, node - (node >> 63 << 64), _majority(hashes), len(distinct), distinct.view(np.int64)
 
+        return one
 
-def wide_fingerprint(text: str | None, width: int, words: int = WIDE_WORDS) -> list[int]:
-    """``words`` independent SimHashes of the ``width``-word shingles, as signed 64-bit integers. No words (or null): zeros."""
-    import xxhash
+    text = F.col(text_col)
+    found = map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), make, "doc_id long, th long, node long, fp long, n int, shingles array<long>")
+    return stored(found.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+
+
+def _prefix(shingles, n, similarity: float):
+    """Two sets this similar have a shingle in common among their first so many, in any order that both follow."""
+    return F.slice(shingles, 1, (n - F.ceil(n * F.lit(similarity) - 1e-9) + 1).cast("int"))
 
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return [0] * words
-    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width)))) if len(tokens) > width else [b" ".join(tokens)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
-    out = []
-    for k in range(words):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            x = hashes[i : i + (1 << 16)] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # the splitmix64 finaliser
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0]))
-    return out
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(token, node, n, pos, low, high): prefix shingles of more than one node, with the least and the greatest node."""
+    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # from a checkpoint, the ends bring no partitioning of their own: a hot shingle's share of the join can be split
+    ends = cut(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"))
+    return cut(tokens.join(ends, "token"))
 
-def most_bits(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Differing bits expected of two shingle sets of one size with this Jaccard similarity."""
-    return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+def _verified(pairs: DataFrame, table: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of (a, b) those whose shingle sets have a Jaccard index of ``similarity`` or more."""
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")), x)
+    pairs = cut(pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9))
+    rows = pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct()
+    sets = stored(table.select("row", "shingles").join(rows, "row", "left_semi"), "candidate-sets")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("row").alias(f"row_{x}"), F.col("shingles").alias(f"set_{x}")), f"row_{x}")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return cut(pairs.filter(both * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, component_id (least doc_id reached) by links of ``similarity`` or more, as wide fingerprints estimate it.
+    """doc_id, component_id (least doc_id reached), text_hash, component; links are the pairs whose sets of ``width``-word shingles have a Jaccard index of ``similarity`` or more.
 
-    At a similarity of 0.8 about one bit in seven differs, too many for one ball. So each band of a wide fingerprint has its own:
-    fingerprints meet where a band differs in at most two bits. All that meet at a value are linked to the least and the
-    greatest there, and a link holds if all bits together differ as little as ``similarity`` allows.
-    With 10 bands, pairs at 0.8, 0.85 and 0.9 meet with chances of 0.71, 0.90 and 0.98.
+    SimHash links at few bits, and links to the least and the greatest node at each prefix shingle, join most copies without any
+    pairs within a group. Then all pairs that share a prefix shingle but no component yet are candidates (a prefix filter: no pair of the
+    similarity is missed). Each link is verified by the sets themselves. Texts without words are one component.
     """
-
-    def make():
-        return lambda i, text: (i, *wide_fingerprint(text, width))
-
-    fs = [f"f{k}" for k in range(WIDE_WORDS)]
-    marked = cut(map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, " + ", ".join(f"{f} long" for f in fs)))
-    classes = cut(marked.groupBy(*fs).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    halves = [F.shiftrightunsigned(f, at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for f in fs for at in (0, BAND_BITS)]
-    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(BAND_BITS)))])
-    near = classes.select("node", F.posexplode(F.array(*halves)).alias("band", "value"))
-    near = near.select("node", F.shiftleft(F.col("band").cast("long"), BAND_BITS).bitwiseOR(F.col("value")).alias("value"), F.explode(masks).alias("mask"))
-    near = near.select("node", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    met = Window.partitionBy("value")
-    pairs = near.select("node", F.min("node").over(met).alias("low"), F.max("node").over(met).alias("high")).filter("low <> high")
-    pairs = pairs.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = classes.select(F.col("node").alias("a"), *[F.col(f).alias(f"a_{f}") for f in fs])
-    two = classes.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in fs])
-    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fs), F.lit(0))
-    pairs = pairs.join(one, "a").join(two, "b").filter(apart <= most_bits(similarity)).select("a", "b")
-    linked = components(pairs)
-    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(firsts, "root").select(*fs, "component_id")
-    return marked.join(named, fs).select("doc_id", "component_id")
+    table = _sets(docs, id_col, text_col, width)
+    nodes = cut(table.groupBy("node").agg(F.min(F.struct("row", "fp", "n")).alias("x")).select("node", "x.*"))
+    prefixes = table.filter("n > 0").select("row", "node", "n", _prefix(F.col("shingles"), F.col("n"), similarity).alias("prefix"))
+    prefixes = cut(prefixes.join(nodes.select("row"), "row", "left_semi"))
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    by_bits = links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    pairs = by_bits.union(nodes.join(firsts, "fp").select("node", "first")).union(_shared(prefixes).select("node", F.explode(F.array("low", "high")))).toDF("a", "b")
+    roots = components(_verified(pairs, table, nodes, similarity))
+    shared = cut(_shared(prefixes).drop("low", "high").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # members of one component at a shingle are one row: pairs are made between components only
+    mixed = shared.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    groups = cut(shared.join(mixed, "token", "left_semi").groupBy("token", "root").agg(F.collect_list(F.struct("node", "n", "pos")).alias("members")))
+    pairs = groups.toDF("token", "root_a", "of_a").join(groups.toDF("token", "root_b", "of_b"), "token").filter("root_a < root_b")
+    pairs = pairs.select(F.explode("of_a").alias("x"), "of_b").select("x", F.explode("of_b").alias("y"))
+    # the first common shingle of a pair leaves room for all that must be common
+    room = 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
+    pairs = pairs.filter(room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = _verified(pairs, table, nodes, similarity)
+    linked = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    rooted = nodes.select("node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = table.select("doc_id", "th", "node").join(cut(rooted), "node")
+    marked = cut(marked.select("doc_id", F.col("th").alias("text_hash"), F.col("root").alias("component")))
+    named = cut(marked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return marked.join(named, "component").select("doc_id", "component_id", "text_hash", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:

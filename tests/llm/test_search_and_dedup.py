@@ -197,3 +197,41 @@ def test_line_dedup_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def shingle_set(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+
+def test_similar_documents_are_those_of_the_similarity(spark):
+    rng = random.Random(13)
+    common = [f"c{k}" for k in range(25)]  # a passage of many texts that are not similar
+    texts = []
+    for b in range(25):
+        base = [f"t{b}x{rng.randrange(900)}" for _ in range(rng.randrange(30, 150))] + common * (b % 2)
+        texts.append(base)
+        for _ in range(5):
+            edited = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            texts.append(edited)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                pairs += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert pairs > 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.similar_documents(df).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, found)) == [(i, find(i)) for i in range(len(rows))]
