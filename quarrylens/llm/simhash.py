@@ -85,6 +85,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: A shingle in the prefixes of so many components is put behind all others, for so many rounds at most; neither bears on what is found.
+CROWD, ROUNDS = 32, 3
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(row, doc_id, th, node, fp, n, shingles): the distinct shingle hashes of each row in order; node: a hash of them all."""
     import xxhash
@@ -130,6 +134,32 @@ def _verified(pairs: DataFrame, table: DataFrame, nodes: DataFrame, similarity:
     return cut(pairs.filter(both * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9).select("a", "b"))
 
 
+def _uncrowded(prefixes: DataFrame, table: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, n, pos, root) of shared prefix shingles, once crowded shingles stand behind all others in the order.
+
+    A prefix without a crowded shingle is the same in the new order, so only those with one are made anew.
+    """
+    crowded = None
+    for left in reversed(range(ROUNDS + 1)):
+        shared = _shared(prefixes).drop("low", "high")
+        rooted = cut(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        if not left:
+            break
+        more = rooted.select("token", "root").distinct().groupBy("token").count().filter(F.col("count") > CROWD).select("token")
+        more = cut(more if crowded is None else more.join(crowded, "token", "left_anti"))
+        if more.isEmpty():
+            break
+        crowded = more if crowded is None else cut(crowded.union(more))
+        hit = cut(rooted.join(more, "token", "left_semi").select("node").distinct())
+        whole = prefixes.join(hit, "node", "left_semi").select("row", "node", "n").join(table.select("row", "shingles"), "row")
+        whole = stored(whole, "crowded-sets")
+        late = whole.select("row", F.explode("shingles").alias("token")).join(crowded, "token").groupBy("row").agg(F.collect_list("token").alias("late"))
+        order = F.concat(F.array_except("shingles", "late"), F.array_intersect("shingles", "late"))
+        anew = whole.join(late, "row").select("row", "node", "n", _prefix(order, F.col("n"), similarity).alias("prefix"))
+        prefixes = cut(prefixes.join(hit, "node", "left_anti").select("row", "node", "n", "prefix").union(anew))
+    return rooted
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, component_id (least doc_id reached), text_hash, component; links are the pairs whose sets of ``width``-word shingles have a Jaccard index of ``similarity`` or more.
 
@@ -145,7 +175,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_bits = links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     pairs = by_bits.union(nodes.join(firsts, "fp").select("node", "first")).union(_shared(prefixes).select("node", F.explode(F.array("low", "high")))).toDF("a", "b")
     roots = components(_verified(pairs, table, nodes, similarity))
-    shared = cut(_shared(prefixes).drop("low", "high").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    shared = _uncrowded(prefixes, table, roots, similarity)
     # members of one component at a shingle are one row: pairs are made between components only
     mixed = shared.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
     groups = cut(shared.join(mixed, "token", "left_semi").groupBy("token", "root").agg(F.collect_list(F.struct("node", "n", "pos")).alias("members")))

@@ -204,7 +204,8 @@ def shingle_set(text, width=5):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
 
 
-def test_similar_documents_are_those_of_the_similarity(spark):
+def test_similar_documents_are_those_of_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 3)
     rng = random.Random(13)
     common = [f"c{k}" for k in range(25)]  # a passage of many texts that are not similar
     texts = []
@@ -235,3 +236,12 @@ def test_similar_documents_are_those_of_the_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = simhash.similar_documents(df).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, found)) == [(i, find(i)) for i in range(len(rows))]
+
+
+def test_pairs_that_meet_among_many_are_linked(spark):
+    shared = [f"s{k}" for k in range(60)]
+    texts = [" ".join([*shared, *(f"o{i}x{k}" for k in range(30))]) for i in range(12)]  # all meet, none is similar
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} edit") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert found == {i: i % 100 for i, _ in rows}
