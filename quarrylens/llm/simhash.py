@@ -194,12 +194,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` with one row of each component of ``similar_documents``: that of its least id, and of equal ids that of the least text hash."""
+    """``docs`` with one row of each component of ``similar_documents``: that of its least id (null last), and of equal ids that of the least text hash."""
     found = similar_documents(docs, id_col, text_col, similarity, width)
-    keep = found.select(F.col("component_id").alias("keep_id")).distinct()
-    turn, key = fresh(docs, "turn", "key")
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    # rows with one id are few: a window by id, not by component
-    order = Window.partitionBy(id_col).orderBy(F.col(key))
-    kept = kept.withColumn(key, F.xxhash64(F.col(text_col))).withColumn(turn, F.row_number().over(order))
-    return kept.filter(F.col(turn) == 1).select(*docs.columns)
+    kept_id, kept_hash, turn = fresh(docs, "kept_id", "kept_hash", "turn")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    keep = cut(found.groupBy("component").agg(least.alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash)))
+    kept = docs.join(keep, (F.xxhash64(text_col) == F.col(kept_hash)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)))
+    # rows of one id and one text are one component's
+    order = Window.partitionBy(kept_id, kept_hash).orderBy(F.lit(1))
+    return kept.withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).select(*docs.columns)

@@ -245,3 +245,11 @@ def test_pairs_that_meet_among_many_are_linked(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
     assert found == {i: i % 100 for i, _ in rows}
+
+
+def test_rows_of_null_and_repeated_ids_are_kept_by_text(spark):
+    text = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcde"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[3] + " edit"), (3, text[4]), (None, text[4])]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (3, text[4])], key=str)
