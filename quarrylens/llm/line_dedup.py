@@ -4,8 +4,9 @@
 2. A rolling hash over neighbouring line hashes cuts a run into chunks where it is 0 modulo ``BOUNDARY``: what precedes a
    passage shifts no boundary inside it. A second, finer cut is made as well where the lines' global counts change, so a passage next
    to a common line is a chunk of its own.
-3. Chunks of several lines, or of one line of ``LONG_WORDS`` words or more, whose hash repeats are candidates. Their bytes are fetched and
-   grouped by the bytes themselves, so only equal text is ever removed. The first place of each (least id, then position) stays.
+3. Chunks of several lines, or of one line of ``LONG_WORDS`` words or more, whose hash repeats are candidates; so is a chunk of one shorter
+   line if it and the repeated chunks that adjoin it have so many words. Their bytes are fetched and grouped by the bytes themselves,
+   so only equal text is ever removed. The first place of each (least id, then position) stays, and adjoining words are counted again.
 
 Each removed chunk has an equal one at an earlier place, so some copy of every line stays.
 Rows with one id and one text are one document. Null text stays null; empty text is one empty line and stays. A null id
@@ -39,18 +40,28 @@ def _repeated_lines(marked: DataFrame) -> DataFrame:
 
 
 def _chunks(lines: DataFrame, boundary: int, long_words: int) -> DataFrame:
-    """(id, th, a, b, hash): first and last line of each chunk that may go."""
+    """(id, th, a, b, wa, wb, alone, hash): first and last line of each chunk, the words before and through it, and whether it may go alone."""
     doc = Window.partitionBy("id", "th").orderBy("pos")
     rows = lines.withColumn("p", F.lag("pos").over(doc)).filter("p IS NULL OR p <> pos")  # of a repeated row, one
     rows = rows.withColumn("p", F.lag("pos").over(doc)).withColumn("ph", F.lag("h").over(doc)).withColumn("pn", F.lag("n").over(doc))
     coarse = F.col("p").isNull() | (F.col("pos") - F.col("p") > 1) | (F.pmod(F.xxhash64("ph", "h"), F.lit(boundary)) == 0)
     fine = coarse | (F.col("n") != F.col("pn"))
-    rows = rows.withColumn("coarse", F.sum(coarse.cast("int")).over(doc)).withColumn("fine", F.sum(fine.cast("int")).over(doc))
-    rows = rows.select("id", "th", "pos", "h", "words", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("coarse").alias("chunk")), F.struct(F.lit(1).alias("level"), F.col("fine").alias("chunk")))).alias("c"))
-    rows = rows.groupBy("id", "th", "c.level", "c.chunk").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("words").alias("words"), F.collect_list(F.struct("pos", "h")).alias("hs"))
-    rows = rows.filter((F.col("b") > F.col("a")) | (F.col("words") >= long_words))
+    rows = rows.withColumn("coarse", F.sum(coarse.cast("int")).over(doc)).withColumn("fine", F.sum(fine.cast("int")).over(doc)).withColumn("through", F.sum("words").over(doc))
+    rows = rows.select("id", "th", "pos", "h", "words", "through", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("coarse").alias("chunk")), F.struct(F.lit(1).alias("level"), F.col("fine").alias("chunk")))).alias("c"))
+    rows = rows.groupBy("id", "th", "c.level", "c.chunk").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("words").alias("words"), F.max("through").alias("wb"), F.collect_list(F.struct("pos", "h")).alias("hs"))
+    alone = (F.col("b") > F.col("a")) | (F.col("words") >= long_words)
     # where both cuts agree, the chunk counts once
-    return rows.select("id", "th", "a", "b", F.xxhash64(F.transform(F.array_sort("hs"), lambda x: x["h"])).alias("hash")).distinct()
+    return rows.select("id", "th", "a", "b", (F.col("wb") - F.col("words")).alias("wa"), "wb", alone.alias("alone"), F.xxhash64(F.transform(F.array_sort("hs"), lambda x: x["h"])).alias("hash")).distinct()
+
+
+def _going(chunks: DataFrame, long_words: int) -> DataFrame:
+    """Chunks that may go alone, and those that have ``long_words`` words with the chunks they adjoin."""
+    doc = Window.partitionBy("id", "th").orderBy("a", "b")
+    before = F.max("b").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = chunks.withColumn("apart", F.coalesce(F.col("a") > before + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(doc))
+    run = Window.partitionBy("id", "th", "run")
+    rows = rows.withColumn("together", F.max("wb").over(run) - F.min("wa").over(run))
+    return rows.filter(F.col("alone") | (F.col("together") >= long_words)).select(*chunks.columns)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, boundary: int = BOUNDARY, long_words: int = LONG_WORDS) -> DataFrame:
@@ -59,14 +70,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, boundary: int =
     chunks = _chunks(_repeated_lines(marked), boundary, long_words)
     chunks = cut(chunks)
     again = cut(chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
-    found = chunks.join(again, "hash").groupBy("id", "th").agg(F.collect_list(F.struct("hash", "a", "b")).alias("chunks"))
+    found = _going(chunks.join(again, "hash"), long_words).groupBy("id", "th").agg(F.collect_list(F.struct("hash", "a", "b", "wa", "wb", "alone")).alias("chunks"))
     found = found.select(F.col("id").alias("fid"), F.col("th").alias("fth"), "chunks")
     whole = marked.join(found, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid"))).withColumn("lines", _lines(F.col("text")))
     piece = whole.select("id", "th", "lines", F.explode("chunks").alias("c")).select("id", "th", "c.*", F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1), "\n").alias("bytes"))
     piece = stored(piece, "line-chunks")
     first = stored(piece.groupBy("hash", "bytes").agg(F.min(F.struct("id", "th", "a")).alias("first")), "first-chunks")
     later = piece.join(first, ["hash", "bytes"]).filter(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return _going(later, long_words).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boundary: int = BOUNDARY, long_words: int = LONG_WORDS, removed_col: str | None = None) -> DataFrame:

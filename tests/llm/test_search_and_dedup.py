@@ -171,6 +171,18 @@ def test_a_common_line_next_to_a_passage_shifts_nothing(spark):
     assert all(got[50 + i] == rows[4 + i][1] for i in range(6))  # a short line alone stays
 
 
+def test_passages_go_wherever_boundaries_fall(spark):
+    # 64 passages of two lines, 33 and 34 words; a boundary falls inside some of them
+    line = lambda p, k, n: " ".join(f"p{p}l{k}w{j}" for j in range(n))
+    passages = [f"{line(p, 0, 33)}\n{line(p, 1, 34)}" for p in range(64)]
+    rows = [(100 * c + p, f"own {c} {p}\n{t}\nend {c} {p}") for c in range(2) for p, t in enumerate(passages)]
+    rows += [(1000, "one\nfair use only\nall rights reserved\ntwo"), (1001, "three\nfair use only\nfour"), (1002, "five\nall rights reserved\nsix")]
+    got = {i: (t, gone) for i, t, gone in dedup(spark, rows)}
+    assert all(got[p] == (rows[p][1], 0) for p in range(64))
+    assert all(got[100 + p] == (f"own 1 {p}\nend 1 {p}", 2) for p in range(64))
+    assert all(got[i][1] == 0 for i in (1000, 1001, 1002))  # short lines stay
+
+
 def test_long_single_lines_count_and_short_ones_do_not(spark):
     long = " ".join(f"word{i}" for i in range(55))
     got = dedup(spark, [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, "short\ne"), (4, "short\nf")])
