@@ -1,7 +1,7 @@
 """Secret scans: patterns of known forms, and random strings told by how few characters a token of theirs has.
 
 A tokenizer's vocabulary holds what people write often, so random strings break into short tokens. A run of key-like characters
-is a secret if its characters a token are few, it isn't a known digest or identifier, and it isn't a span of a known form.
+is a secret if its characters a token are few, it isn't a known digest or identifier, and it isn't in a span of a known form.
 Null or empty text: no spans. Whole texts, no length bound on a span.
 """
 
@@ -26,6 +26,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _ALPHA = re.compile(r"[0-9a-fA-F]+")
+_TIME = re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[01]\d|2[0-3])[0-5]\d", re.ASCII)
 #: Runs with fewer characters a token than this are random; English words have about 4, random base-64 about 1.6.
 RANDOM_RATIO = 2.1
 
@@ -42,15 +43,28 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(run: str) -> bool:
-    """A digest, a UUID, or an identifier: letters only, digits only, or words and numbers joined by separators."""
+def _known(run: str, encoding, ratio: float) -> bool:
+    """A digest, a UUID, or an identifier: parts that are vocabulary words, numbers shorter than a run, or times."""
     if _UUID.fullmatch(run) or _ALPHA.fullmatch(run) and len(run) in _DIGEST_LENGTHS:
         return True
-    has_digit, has_letter = any(c.isdigit() for c in run), any(c.isalpha() for c in run)
-    if not (has_digit and has_letter):
-        return True
-    parts = [p for p in re.split(r"[-_/+=]", run) if p]
-    return all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in parts)
+
+    def plain(part: str) -> bool:
+        if part.isdigit():
+            return len(part) < 16 or bool(_TIME.match(part))
+        tokens = len(encoding.encode_ordinary(part))
+        return part.isalpha() and (tokens == 1 or len(part) >= ratio * tokens)
+
+    return all(map(plain, filter(None, re.split(r"[-_/+=]", run))))
+
+
+def _left_over(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans, sorted by start, leave of a..b."""
+    out = []
+    for x, _, y in taken:
+        if x < b and a < y:
+            out.append((a, x))
+            a = max(a, y)
+    return [(x, y) for x, y in [*out, (a, b)] if y - x >= 16]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,14 +80,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], ratio: float = RANDOM_RATIO) -> list[tuple[int, int, int]]:
-    """Runs whose characters a token are below ``ratio`` and that no known form covers."""
+    """Runs, or what known forms leave of them, whose characters a token are below ``ratio``."""
     out = []
     for m in _RUN.finditer(text):
-        a, b, run = m.start(), m.end(), m[0]
-        if _known(run) or any(x < b and a < y for x, _, y in taken):
-            continue
-        if len(run) < ratio * len(encoding.encode_ordinary(run)):
-            out.append((a, 3, b))
+        for a, b in _left_over(m.start(), m.end(), taken):
+            run = text[a:b]
+            if len(run) < ratio * len(encoding.encode_ordinary(run)) and not _known(run, encoding, ratio):
+                out.append((a, 3, b))
     return out
 
 
