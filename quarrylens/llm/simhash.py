@@ -86,25 +86,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: A shingle in the prefixes of so many components is put behind all others, for so many rounds at most; neither bears on what is found.
-CROWD, ROUNDS = 32, 3
+CROWD, ROUNDS = 32, 2
+#: Links at a crowded value are only tried between fingerprints with so few differing bits; what they leave is compared later.
+TRIED_BITS = 16
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(row, doc_id, th, node, fp, n, shingles): the distinct shingle hashes of each row in order; node: a hash of them all."""
+    """(node, doc_id, th, key, fp, n, shingles): the distinct shingle hashes of each row in order; key: a hash of them all; node: a number of the row."""
     import xxhash
 
     def make():
         def one(i, th, text):
             hashes = _hashes(text, width)
             distinct = np.unique(hashes)
-            node = xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
-            return i, th, node - (node >> 63 << 64), _majority(hashes), len(distinct), distinct.view(np.int64)
+            key = xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
+            return i, th, key - (key >> 63 << 64), _majority(hashes), len(distinct), distinct.view(np.int64)
 
         return one
 
     text = F.col(text_col)
-    found = map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), make, "doc_id long, th long, node long, fp long, n int, shingles array<long>")
-    return stored(found.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    found = map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), make, "doc_id long, th long, key long, fp long, n int, shingles array<long>")
+    return stored(found.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
 
 
 def _prefix(shingles, n, similarity: float):
@@ -113,36 +115,39 @@ def _prefix(shingles, n, similarity: float):
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """(token, node, n, pos, low, high): prefix shingles of more than one node, with the least and the greatest node."""
-    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # from a checkpoint, the ends bring no partitioning of their own: a hot shingle's share of the join can be split
-    ends = cut(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"))
-    return cut(tokens.join(ends, "token"))
+    """(token, node, low, high): prefix shingles of more than one node, with the least and the greatest node."""
+    met = Window.partitionBy("token")
+    tokens = prefixes.select("node", F.explode("prefix").alias("token"))
+    return cut(tokens.select("token", "node", F.min("node").over(met).alias("low"), F.max("node").over(met).alias("high")).filter("low <> high"))
 
 
-def _verified(pairs: DataFrame, table: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of (a, b) those whose shingle sets have a Jaccard index of ``similarity`` or more."""
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _sized(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n_a, n_b, apart) of pairs whose sizes allow the similarity; apart: differing bits of the fingerprints."""
     for x in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")), x)
-    pairs = cut(pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9))
-    rows = pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct()
-    sets = stored(table.select("row", "shingles").join(rows, "row", "left_semi"), "candidate-sets")
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")), x)
+    pairs = pairs.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)
+    return pairs.withColumn("apart", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))).drop("fp_a", "fp_b")
+
+
+def _verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Of (a, b, n_a, n_b) the (a, b) whose shingle sets have a Jaccard index of ``similarity`` or more."""
+    pairs = cut(pairs)
+    rows = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(table.select("node", "shingles").join(rows, "node", "left_semi"), "candidate-sets")
     for x in "ab":
-        pairs = pairs.join(sets.select(F.col("row").alias(f"row_{x}"), F.col("shingles").alias(f"set_{x}")), f"row_{x}")
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
     both = F.size(F.array_intersect("set_a", "set_b"))
     return cut(pairs.filter(both * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9).select("a", "b"))
 
 
-def _uncrowded(prefixes: DataFrame, table: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(token, node, n, pos, root) of shared prefix shingles, once crowded shingles stand behind all others in the order.
+def _uncrowded(prefixes: DataFrame, shared: DataFrame, table: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, root) of shared prefix shingles, once crowded shingles stand behind all others in the order.
 
     A prefix without a crowded shingle is the same in the new order, so only those with one are made anew.
     """
     crowded = None
     for left in reversed(range(ROUNDS + 1)):
-        shared = _shared(prefixes).drop("low", "high")
-        rooted = cut(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        rooted = cut(shared.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         if not left:
             break
         more = rooted.select("token", "root").distinct().groupBy("token").count().filter(F.col("count") > CROWD).select("token")
@@ -151,12 +156,12 @@ def _uncrowded(prefixes: DataFrame, table: DataFrame, roots: DataFrame, similari
             break
         crowded = more if crowded is None else cut(crowded.union(more))
         hit = cut(rooted.join(more, "token", "left_semi").select("node").distinct())
-        whole = prefixes.join(hit, "node", "left_semi").select("row", "node", "n").join(table.select("row", "shingles"), "row")
-        whole = stored(whole, "crowded-sets")
-        late = whole.select("row", F.explode("shingles").alias("token")).join(crowded, "token").groupBy("row").agg(F.collect_list("token").alias("late"))
+        whole = stored(table.select("node", "n", "shingles").join(hit, "node", "left_semi"), "crowded-sets")
+        late = whole.select("node", F.explode("shingles").alias("token")).join(crowded, "token").groupBy("node").agg(F.collect_list("token").alias("late"))
         order = F.concat(F.array_except("shingles", "late"), F.array_intersect("shingles", "late"))
-        anew = whole.join(late, "row").select("row", "node", "n", _prefix(order, F.col("n"), similarity).alias("prefix"))
-        prefixes = cut(prefixes.join(hit, "node", "left_anti").select("row", "node", "n", "prefix").union(anew))
+        anew = whole.join(late, "node").select("node", "n", _prefix(order, F.col("n"), similarity).alias("prefix"))
+        prefixes = cut(prefixes.join(hit, "node", "left_anti").select("node", "n", "prefix").union(anew))
+        shared = _shared(prefixes)
     return rooted
 
 
@@ -168,26 +173,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     similarity is missed). Each link is verified by the sets themselves. Texts without words are one component.
     """
     table = _sets(docs, id_col, text_col, width)
-    nodes = cut(table.groupBy("node").agg(F.min(F.struct("row", "fp", "n")).alias("x")).select("node", "x.*"))
-    prefixes = table.filter("n > 0").select("row", "node", "n", _prefix(F.col("shingles"), F.col("n"), similarity).alias("prefix"))
-    prefixes = cut(prefixes.join(nodes.select("row"), "row", "left_semi"))
+    nodes = cut(table.groupBy("key").agg(F.min(F.struct("node", "fp", "n")).alias("x")).select("key", "x.*"))
+    prefixes = table.filter("n > 0").select("node", "n", _prefix(F.col("shingles"), F.col("n"), similarity).alias("prefix"))
+    prefixes = cut(prefixes.join(nodes.select("node"), "node", "left_semi"))
     firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     by_bits = links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    pairs = by_bits.union(nodes.join(firsts, "fp").select("node", "first")).union(_shared(prefixes).select("node", F.explode(F.array("low", "high")))).toDF("a", "b")
-    roots = components(_verified(pairs, table, nodes, similarity))
-    shared = _uncrowded(prefixes, table, roots, similarity)
+    shared = _shared(prefixes)
+    pairs = by_bits.union(nodes.join(firsts, "fp").select("node", "first")).union(shared.select("node", F.explode(F.array("low", "high")))).toDF("a", "b")
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = components(_verified(_sized(pairs, nodes, similarity).filter(F.col("apart") <= TRIED_BITS), table, similarity))
+    shared = _uncrowded(prefixes, shared, table, roots, similarity)
     # members of one component at a shingle are one row: pairs are made between components only
     mixed = shared.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    groups = cut(shared.join(mixed, "token", "left_semi").groupBy("token", "root").agg(F.collect_list(F.struct("node", "n", "pos")).alias("members")))
+    groups = cut(shared.join(mixed, "token", "left_semi").groupBy("token", "root").agg(F.collect_list("node").alias("members")))
     pairs = groups.toDF("token", "root_a", "of_a").join(groups.toDF("token", "root_b", "of_b"), "token").filter("root_a < root_b")
-    pairs = pairs.select(F.explode("of_a").alias("x"), "of_b").select("x", F.explode("of_b").alias("y"))
-    # the first common shingle of a pair leaves room for all that must be common
-    room = 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-    pairs = pairs.filter(room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = _verified(pairs, table, nodes, similarity)
+    pairs = pairs.select(F.explode("of_a").alias("a"), "of_b").select("a", F.explode("of_b").alias("b")).groupBy("a", "b").count()
+    # all that two sets have in common: their common prefix shingles, and no more than one of the two has behind its prefix
+    behind = F.ceil(F.greatest("n_a", "n_b") * F.lit(similarity) - 1e-9) - 1
+    pairs = _sized(pairs, nodes, similarity).filter((F.col("count") + behind) * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9)
+    more = _verified(pairs, table, similarity)
     linked = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    rooted = nodes.select("node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = table.select("doc_id", "th", "node").join(cut(rooted), "node")
+    rooted = nodes.select("key", "node").join(linked, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    marked = table.select("doc_id", "th", "key").join(cut(rooted), "key")
     marked = cut(marked.select("doc_id", F.col("th").alias("text_hash"), F.col("root").alias("component")))
     named = cut(marked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return marked.join(named, "component").select("doc_id", "component_id", "text_hash", "component")
