@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python: long texts make records alone a poor bound.
 BATCH_BYTES = 8 << 20
@@ -46,6 +47,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows, of a few numbers, that are sent whole to every task: some 40 MB at most.
+NEARBY_ROWS = 1_000_000
+
+
+def nearby(df: DataFrame) -> DataFrame:
+    """``df``, narrow rows, cut and counted: marked for a broadcast if they are few, else to be joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= NEARBY_ROWS else df
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` doesn't have, however its own are spelled."""
     have = {c.lower() for c in df.columns}

@@ -14,7 +14,8 @@ def components(edges: DataFrame, node_type: str = "long") -> DataFrame:
     A round: each node takes the least label next to it, then the label of its label. Rounds grow with the logarithm of the
     longest chain in practice; all sums are of at most a row a task. An edge lives on only between different labels.
     """
-    edges = edges.select(F.least("a", "b").cast(node_type).alias("a"), F.greatest("a", "b").cast(node_type).alias("b")).filter("a <> b").distinct()
+    # cut before both directions are taken: made twice, links that depend on the order of rows could differ
+    edges = cut(edges.select(F.least("a", "b").cast(node_type).alias("a"), F.greatest("a", "b").cast(node_type).alias("b")).filter("a <> b").distinct())
     both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:

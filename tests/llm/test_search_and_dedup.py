@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -216,8 +217,10 @@ def shingle_set(text, width=5):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
 
 
-def test_similar_documents_are_those_of_the_similarity(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 3)
+@pytest.mark.parametrize("few", [1, 3, 32])
+def test_similar_documents_are_those_of_the_similarity(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)  # larger groups go by blocks
+    monkeypatch.setattr(simhash, "BLOCK", 4)
     rng = random.Random(13)
     common = [f"c{k}" for k in range(25)]  # a passage of many texts that are not similar
     texts = []
@@ -250,6 +253,38 @@ def test_similar_documents_are_those_of_the_similarity(spark, monkeypatch):
     assert sorted(map(tuple, found)) == [(i, find(i)) for i in range(len(rows))]
 
 
+def test_a_pair_at_the_very_similarity_is_linked(spark):
+    # sets of 66 and 60 shingles with 56 in common: 56 / 70
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(1, shared + "".join(f" a{k}" for k in range(10))), (2, shared + "".join(f" b{k}" for k in range(4))), (3, shared + "".join(f" c{k}" for k in range(11)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.similar_documents(df).select("doc_id", "component_id").collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_blocks_give_links_enough():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    a, b = ([np.unique(rng.choice(pool, 60)).view(np.int64) for _ in range(n)] for n in (40, 50))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert simhash._common(a, b, columns=16, at_once=100).tolist() == want
+    ok = rng.random((40, 50)) < 0.03
+    label = lambda links: _roots(90, [(i, 40 + j) for i, j in links])
+    assert label(simhash._spanning(ok)) == label(np.argwhere(ok).tolist())
+
+
+def _roots(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
 def test_pairs_that_meet_among_many_are_linked(spark):
     shared = [f"s{k}" for k in range(60)]
     texts = [" ".join([*shared, *(f"o{i}x{k}" for k in range(30))]) for i in range(12)]  # all meet, none is similar
