@@ -2,10 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import line_dedup, mtree, simhash
@@ -190,6 +192,94 @@ def test_long_single_lines_count_and_short_ones_do_not(spark):
     assert got == [(1, f"a\n{long}\nb", 0), (2, "c\nd", 1), (3, "short\ne", 0), (4, "short\nf", 0)]
 
 
+def brute_lines(rows):
+    """Chunks of a table by id, least words: what the rules of the module leave, in plain loops."""
+    from quarrylens.llm.line_dedup import LEAST_WORDS, LONG_WORDS
+
+    spark = SparkSession.getActiveSession()
+    rows = list({(i, t): None for i, t in rows})
+    ink = {key: [(p, x) for p, x in enumerate(key[1].split("\n")) if x.strip(" \t\n\v\f\r")] for key in rows}
+    every = sorted({x for found in ink.values() for _, x in found})
+    h = {x: spark.range(1).select(F.xxhash64(F.lit(x))).first()[0] for x in every}
+    bound = {}
+    n = Counter(x for found in ink.values() for _, x in found)
+    chunks = set()
+    for key, found in ink.items():
+        for fine in (False, True):
+            run = []
+            for at, (_, x) in enumerate(found):
+                if run and (run[-1] != at - 1 or _cuts(spark, bound, h[found[at - 1][1]], h[x]) or fine and n[found[at - 1][1]] != n[x]):
+                    chunks.add((key, run[0], run[-1]))
+                    run = []
+                if n[x] > 1:
+                    run.append(at)
+            if run:
+                chunks.add((key, run[0], run[-1]))
+    text = {c: "\n".join(x for _, x in ink[c[0]][c[1] : c[2] + 1]) for c in chunks}
+    words = {c: len(t.split()) for c, t in text.items()}
+    place = lambda c: (c[0][0], spark.range(1).select(F.xxhash64(F.lit(c[0][1]))).first()[0], ink[c[0]][c[1]][0])
+    seen = Counter(text.values())
+
+    def going(some):
+        out = set()
+        for key in rows:
+            own = sorted(c for c in some if c[0] == key)
+            runs = []
+            for c in own:
+                if runs and c[1] <= max(x[2] for x in runs[-1]) + 1:
+                    runs[-1].append(c)
+                else:
+                    runs.append([c])
+            for run in runs:
+                whole = sum(len(ink[key][k][1].split()) for k in range(run[0][1], max(x[2] for x in run) + 1))
+                out |= {c for c in run if whole >= LONG_WORDS or words[c] >= LONG_WORDS or c[2] > c[1] and words[c] >= LEAST_WORDS}
+        return out
+
+    held = going({c for c in chunks if seen[text[c]] > 1})
+    first = {}
+    for c in held:
+        first[text[c]] = min(first.get(text[c], place(c)), place(c))
+    gone = going({c for c in held if place(c) != first[text[c]]})
+    out = {}
+    for key in rows:
+        drop = {p for c in gone if c[0] == key for p in range(ink[key][c[1]][0], ink[key][c[2]][0] + 1)}
+        out[key[0]] = "\n".join(x for p, x in enumerate(key[1].split("\n")) if p not in drop)
+    return out
+
+
+def _cuts(spark, known, a, b):
+    if (a, b) not in known:
+        known[a, b] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(a), F.lit(b)), F.lit(line_dedup.BOUNDARY))).first()[0] == 0
+    return known[a, b]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(29)
+    pool = [" ".join(f"p{k}w{j}" for j in range(rng.choice((1, 2, 8, 15, 30)))) for k in range(12)] + ["}", "", " ", "\r", "end\r"]
+    rows = []
+    for i in range(14):
+        lines = []
+        while len(lines) < 12:
+            k = rng.randrange(len(pool))
+            lines += rng.choice(([f"own {i} {len(lines)}"], pool[k : k + rng.randrange(1, 6)], [""]))
+        rows.append((i, "\n".join(lines)))
+    assert {i: t for i, t, _ in dedup(spark, rows)} == brute_lines(rows)
+
+
+def test_blank_lines_and_short_lines_stay(spark):
+    rows = [(1, "some text a\n\n\nsome text b"), (2, "other text a\n\n\nother text b"), (3, "if a:\n}\n}\nz1"), (4, "if b:\n}\n}\nz2"), (5, "one\r\n\r\n\r\ntwo"), (6, "three\r\n\r\n\r\nfour")]
+    assert [(i, t) for i, t, gone in dedup(spark, rows) if not gone] == rows
+    # a passage of paragraphs goes with the blank lines inside it, whatever their number; the breaks around it stay
+    gap = lambda n: ("\n" * n).join(PASSAGE)
+    got = dedup(spark, [(1, f"a\n\n{gap(2)}\n\nb"), (2, f"c\n\n{gap(3)}\n\nd")])
+    assert got[1] == (2, "c\n\n\nd", 7)
+
+
+def test_a_hot_line_is_counted_once_for_all(spark):
+    rows = [(i, f"hot line\nown {i}") for i in range(400)]
+    assert [(i, t) for i, t, _ in dedup(spark, rows)] == sorted(rows, key=str)
+
+
 def test_line_dedup_edges(spark):
     text = "\n".join(PASSAGE)
     got = dedup(spark, [(None, text), (1, text), (1, text), (2, None), (3, ""), (4, "\n\n\n"), (5, "x\n" * 3000)])
