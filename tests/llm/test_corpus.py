@@ -97,7 +97,7 @@ def test_quality_edges(spark):
     assert {r["keep"] for r in quality.classify(docs.filter("doc_id < 5"), labels.limit(0)).collect()} == {True}
 
 
-def brute_kneser_ney(symbols):
+def brute_kneser_ney(symbols, size):
     """Interpolated modified Kneser-Ney of one sequence, straight from its definition."""
     counts = {quality.ORDER: {}}
     for i in range(len(symbols) - quality.ORDER + 1):
@@ -110,7 +110,7 @@ def brute_kneser_ney(symbols):
 
     def p(g, k):
         if k == 0:
-            return 1 / quality.ALPHABET
+            return 1 / size
         table = counts[k]
         n = [sum(c == i for c in table.values()) for i in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else None
@@ -130,20 +130,54 @@ def test_model_is_kneser_ney(spark):
     text = "".join(rng.choice("abcd ") for _ in range(300))
     docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    import pickle
-
-    model = quality.fit(docs, labels)
-    alphabet, parts = pickle.loads(model.packed.value)["en"]
-    table = quality._log_table(parts)
-    symbols = quality._symbols(text, alphabet).tolist()
-    exact = brute_kneser_ney(symbols)
+    model, _ = quality.fit(docs, labels)
+    table = quality._tables(model.packed.value)["2:en"]
+    size = table.base
+    first = table.alphabet.grams(text)
+    symbols = [0] * (quality.ORDER - 1) + (first % size).tolist()
+    assert first[0] == symbols[quality.ORDER - 1]  # line ends are no class of this text
+    exact = brute_kneser_ney(symbols, size)
     for _ in range(60):
-        g = [rng.randrange(quality.ALPHABET) if rng.random() < 0.2 else rng.choice(symbols) for _ in range(quality.ORDER)]
+        g = [rng.randrange(size) if rng.random() < 0.2 else rng.choice(symbols) for _ in range(quality.ORDER)]
         code = 0
-        for s in g:
-            code = code * quality.ALPHABET + s
-        assert np.exp(table[code]) == pytest.approx(exact(g), rel=1e-4)
-    assert np.exp(table.reshape(-1, quality.ALPHABET)[:50]).sum(1) == pytest.approx(np.ones(50), rel=1e-3)
+        for x in g:
+            code = code * size + x
+        assert np.exp(table._log(quality.ORDER, np.array([code])))[0] == pytest.approx(exact(g), rel=1e-4)
+    whole = table._log(quality.ORDER, np.arange(50 * size)).reshape(-1, size)
+    assert np.exp(whole).sum(1) == pytest.approx(np.ones(50), rel=1e-3)
+    logs = [np.log(exact(symbols[i : i + quality.ORDER])) for i in range(len(symbols) - quality.ORDER + 1)]
+    assert table.perplexity(text) == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4)
+
+
+def test_scores_by_joins_are_those_by_lookup(spark):
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randrange(1, 9)))
+    kinds = {"en": "abcdefg", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 200))), None: "äöüxyz\U0001f600", "xx": "a!b"}
+    rows = [(i, " ".join(word(kinds[k]) for _ in range(rng.randrange(1, 40))), k) for i in range(80) for k in [rng.choice(list(kinds))]]
+    rows += [(200, None, "en"), (201, "", "zh"), (202, rows[0][1], rows[0][2]), (203, "\U0001f600 " * 3000, "en")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, tid long, _th long, perplexity long")
+    labels = spark.createDataFrame([(i, int(r[2] != "xx"), 0) for i, r in enumerate(rows[:80])], "doc_id long, quality int, toxic int")
+    a, b = ({r["doc_id"]: r for r in quality.classify(docs, labels, most_rows=n).collect()} for n in (10**6, 0))
+    assert len(a) == len(b) == len(rows)
+    for i, r in a.items():
+        assert r["keep"] == b[i]["keep"] and r["threshold"] == pytest.approx(b[i]["threshold"], rel=1e-4)
+        assert (r["perplexity"] is None) == (b[i]["perplexity"] is None) == (i in (200, 201))
+        assert r["perplexity"] is None or r["perplexity"] == pytest.approx(b[i]["perplexity"], rel=1e-4)
+    kept = quality.keep_good(docs, labels, most_rows=0)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in a.items() if r["keep"]}
+
+
+def test_thresholds_are_quantiles_of_unseen_trusted_text(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    _, unseen = quality.fit(docs, labels)
+    limits, whole = quality.thresholds(unseen, 0.9)
+    limits, rows = {r["lang"]: r["threshold"] for r in limits.collect()}, unseen.toPandas()
+    quantile = lambda p: np.sort(p)[int(np.ceil(0.9 * len(p))) - 1]
+    assert whole == pytest.approx(quantile(rows["perplexity"]))
+    for lang, g in rows.groupby("lang"):
+        assert limits[lang] == pytest.approx(quantile(g["perplexity"])) or len(g) < 10
+    out = quality.classify(docs, labels, quantile=0.9).collect()
+    assert all(r["threshold"] == limits.get(r["lang"], whole) and r["keep"] == (r["perplexity"] is not None and r["perplexity"] <= r["threshold"]) for r in out)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Site &amp; more</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
