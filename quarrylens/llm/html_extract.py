@@ -5,8 +5,9 @@ before and after, and where it stands: inside an article, inside furniture (menu
 told by element, role, class or id), or a heading. A decision tree of these features, trained here on a small labelled table,
 keeps or drops the block; kept blocks are joined by line ends in page order.
 
-Unclosed elements end where their parent does; an article's start also ends open furniture around it. Null or empty pages
-give an empty text. Nothing is bounded in length.
+Unclosed elements end where their parent does; an article's start also ends open furniture around it. A quote that never closes is a character
+like any other; a tag that never ends is text. Null or empty pages give an empty text; repeated rows, each its own; an empty table, an
+empty one. Nothing is bounded in length: a page is read once from end to end, and what is open is found by its name, not by a search.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import map_rows
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _CAMEL, _NOT_LETTERS = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z]+")
 
@@ -63,97 +68,161 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of what isn't text, in order; comments and the like have no name.
+
+    The caller may send the place to go on from, for elements that hold raw characters.
+    """
+    at = 0
+    unclosed: set[str] = set()  # quotes that don't come again
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        name = _NAME.match(page, start + 1)
+        if not name and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        at = name.end() if name else start + 2
+        while stop := _STOP.search(page, at):
+            at = stop.end()
+            if stop[0] == ">":
+                break
+            if name and stop[0] not in unclosed:
+                close = page.find(stop[0], at)
+                if close < 0:
+                    unclosed.add(stop[0])
+                else:
+                    at = close + 1
+        if not stop:
+            return
+        at = (yield (start, at, name[1], name[2].lower(), page[name.end() : at - 1]) if name else (start, at, "", "", "")) or at
+
+
+@dataclass(slots=True)
+class _Element:
+    tag: str
+    furniture: int | None  # place of the outermost furniture that it is in
+    article: bool
+    open: bool = True
+
+
+class _Open:
+    """The open elements of a page. Inline elements can end before what is in them; all is found without a search."""
+
+    def __init__(self):
+        self.stack: list[_Element] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []  # places of those that aren't inline
+        self.unseen = self.links = 0
+
+    def _count(self, tag: str, by: int) -> None:
+        self.unseen += by * (tag in _UNSEEN)
+        self.links += by * (tag == "a")
+
+    def push(self, tag: str, furniture: bool, article: bool) -> None:
+        above = self.top()
+        first = above.furniture if above.furniture is not None else len(self.stack) if furniture else None
+        self.places[tag].append(len(self.stack))
+        if tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(_Element(tag, first, above.article or article))
+        self._count(tag, 1)
+
+    def top(self) -> _Element:
+        while self.stack and not self.stack[-1].open:
+            self.stack.pop()
+        return self.stack[-1] if self.stack else _Element("", None, False)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            if element.open:
+                self.places[element.tag].pop()
+                if element.tag not in _INLINE:
+                    self.blocks.pop()
+                self._count(element.tag, -1)
+
+    def end_inline(self, tag: str) -> None:
+        """The innermost such element alone, not what is in it."""
+        element = self.stack[self.places[tag].pop()]
+        element.open = False
+        self._count(tag, -1)
+
+    def block(self) -> str:
+        return self.stack[self.blocks[-1]].tag if self.blocks else ""
+
+
 def blocks(page: str) -> list[dict]:
     """Text blocks of a page in order: text, words, links, article, furniture, heading."""
     out: list[dict] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, furniture, article), each with what its parents are
+    held = _Open()
     pieces: list[str] = []
     linked: list[str] = []
-    unseen = in_link = 0
 
-    def flush(heading: bool = False) -> None:
+    def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            n = len(text.split())
-            _, furniture, article = stack[-1] if stack else ("", False, False)
-            out.append({"text": text, "words": n, "links": min(1.0, len(" ".join(linked).split()) / n), "article": article, "furniture": furniture, "heading": heading or any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:])})
+            n, top = len(text.split()), held.top()
+            heading = any(e.open and len(e.tag) == 2 and e.tag[0] == "h" and e.tag[1] in "123456" for e in held.stack[-3:])
+            out.append({"text": text, "words": n, "links": min(1.0, len(" ".join(linked).split()) / n), "article": top.article, "furniture": top.furniture is not None, "heading": heading})
         pieces.clear()
         linked.clear()
 
     def take(text: str) -> None:
-        if text and not unseen:
+        if text and not held.unseen:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
-            if in_link:
+            if held.links:
                 linked.append(text)
 
-    def pop_to(k: int) -> None:
-        nonlocal unseen, in_link
-        for tag, _, _ in stack[k:]:
-            unseen -= tag in _UNSEEN
-            in_link -= tag == "a"
-        del stack[k:]
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            take(page[at:])
+    at, tags, go_on = 0, _tags(page), None
+    while True:
+        try:
+            start, end, slash, tag, attributes = tags.send(go_on)
+        except StopIteration:
             break
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        go_on = None
+        take(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in _INLINE:
-                flush()
-            if k is not None and not (tag in _INLINE and any(s[0] not in _INLINE for s in stack[k:])):
-                pop_to(k)
-            elif k is not None:  # an inline end across blocks ends the inline element alone
-                unseen -= tag in _UNSEEN
-                in_link -= tag == "a"
-                del stack[k]
-            continue
-        if tag not in _INLINE:
+        inline = tag in _INLINE
+        if not inline:
             flush()
+        if slash:
+            if places := held.places[tag]:
+                # an inline end across blocks ends the inline element alone
+                if inline and held.blocks and held.blocks[-1] > places[-1]:
+                    held.end_inline(tag)
+                else:
+                    held.pop_to(places[-1])
+            continue
         if tag == "br":
             take(" ")
         if tag in _VOID:
             continue
-        if tag in _ARTICLES and any(s[1] for s in stack):
-            pop_to(next(i for i, s in enumerate(stack) if s[1]))
+        if tag in _ARTICLES and held.top().furniture is not None:
+            held.pop_to(held.top().furniture)
         if tag in _SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _SIBLINGS[tag]:
-                    pop_to(i)
-                elif stack[i][0] not in _INLINE:
-                    break
-        elif tag not in _INLINE:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        if tag == "a":  # links don't nest
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "a":
-                    in_link -= 1
-                    del stack[i]
-                    break
-        if tag == "body":  # an unclosed head ends
-            pop_to(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
-        _, furniture, article = stack[-1] if stack else ("", False, False)
-        if not m[3].endswith("/") or tag not in ("svg", "iframe", "a"):
-            if tag in _RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else end
-                continue
-            stack.append((tag, furniture or _furniture(tag, m[3], article), article or tag in _ARTICLES))
-            unseen += tag in _UNSEEN
-            in_link += tag == "a"
+            while held.block() in _SIBLINGS[tag]:
+                held.pop_to(held.blocks[-1])
+        elif not inline and held.block() == "p":
+            held.pop_to(held.blocks[-1])
+        if tag == "a" and held.places["a"]:  # links don't nest
+            held.end_inline("a")
+        if tag == "body" and held.places["head"]:  # an unclosed head ends
+            held.pop_to(held.places["head"][0])
+        if attributes.endswith("/") and tag in ("svg", "iframe", "a"):
+            continue
+        if tag in _RAW:
+            close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            at = go_on = close.end() if close else len(page)
+            continue
+        held.push(tag, held.top().furniture is not None or _furniture(tag, attributes, held.top().article), tag in _ARTICLES)
+    take(page[at:])
     flush()
     return out
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -206,6 +207,18 @@ def test_tree_on_pages_without_article():
     assert html_extract.main_text(inside) == text
 
 
+def test_odd_pages_are_read_once():
+    """Shapes that make a search from each tag quadratic: 300 kB each, within seconds."""
+    n = 30_000
+    shapes = ["<a " * n, "<div>" * n + "</b>" * n, "<b>" * n + "<div>" * n + "</b>" * n, "<b>" * n + "<p>x" * n, '<a "' * n, "<a '\"" * n, "<!--" * n, "<!" * n, "<script>" * n, "&" * n, "<nav>" * n + "<article>x" * n]
+    began = time.process_time()
+    for page in shapes:
+        html_extract.main_text(page)
+    assert time.process_time() - began < 30
+    assert html_extract.main_text("<article><p>five words of plain text <a title='x>y'>and a link</a> a < b <i>c") == "five words of plain text and a link a < b c"
+    assert html_extract.main_text("<p>some words of the text stand here <b title=\"open>bold</b> and go on to the end") == "some words of the text stand here bold and go on to the end"
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     """Each stage's input and output as lists, over the smallest tables."""
