@@ -2,7 +2,9 @@
 
 A tokenizer's vocabulary holds what people write often, so random strings break into short tokens. A run of key-like characters
 is a secret if its characters a token are few, it isn't a known digest or identifier, and it isn't in a span of a known form.
-Null or empty text: no spans. Whole texts, no length bound on a span.
+Runs of under ``LEAST_RUN`` characters are not tested. Not reported: digests in hexadecimal of a known length, UUIDs, runs whose parts are all
+vocabulary words (or as long by token as words), numbers of under ``LEAST_RUN`` digits or times. Null or empty text: no spans. Whole texts, no
+length bound on a span. Repeated rows, each its own; an empty table, an empty one; ids that are no numbers become null.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)  # the same as the runs of 24 or more
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+#: Shorter runs are not tested: too few tokens to tell.
+LEAST_RUN = 16
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}", re.ASCII)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _ALPHA = re.compile(r"[0-9a-fA-F]+")
@@ -50,21 +54,22 @@ def _known(run: str, encoding, ratio: float) -> bool:
 
     def plain(part: str) -> bool:
         if part.isdigit():
-            return len(part) < 16 or bool(_TIME.match(part))
+            return len(part) < LEAST_RUN or bool(_TIME.match(part))
         tokens = len(encoding.encode_ordinary(part))
         return part.isalpha() and (tokens == 1 or len(part) >= ratio * tokens)
 
     return all(map(plain, filter(None, re.split(r"[-_/+=]", run))))
 
 
-def _left_over(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What the spans, sorted by start, leave of a..b."""
-    out = []
-    for x, _, y in taken:
-        if x < b and a < y:
-            out.append((a, x))
-            a = max(a, y)
-    return [(x, y) for x, y in [*out, (a, b)] if y - x >= 16]
+def _merged(taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans, sorted by start, as disjoint ranges."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in taken:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,11 +87,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]], ratio: float = RANDOM_RATIO) -> list[tuple[int, int, int]]:
     """Runs, or what known forms leave of them, whose characters a token are below ``ratio``."""
     out = []
+    ranges, k = _merged(taken), 0
     for m in _RUN.finditer(text):
-        for a, b in _left_over(m.start(), m.end(), taken):
-            run = text[a:b]
-            if len(run) < ratio * len(encoding.encode_ordinary(run)) and not _known(run, encoding, ratio):
-                out.append((a, 3, b))
+        a, end = m.span()
+        while k < len(ranges) and ranges[k][1] <= a:
+            k += 1
+        while a < end:  # runs and ranges are both in order: each is looked at once
+            held = ranges[k] if k < len(ranges) and ranges[k][0] < end else (end, end)
+            run = text[a : held[0]]
+            if len(run) >= LEAST_RUN and len(run) < ratio * len(encoding.encode_ordinary(run)) and not _known(run, encoding, ratio):
+                out.append((a, 3, held[0]))
+            a = max(a, held[1])
+            k += held[1] < end
     return out
 
 
