@@ -4,7 +4,12 @@
 two headers in a row agree. ``write`` makes a lossless carrier: silent layer III frames whose ancillary bytes hold a
 payload, after an ID3v2 tag and a frame with a variable-rate table.
 
-Null bytes: all fields null but the counts, which are 0. Empty bytes or no frame at all: counts 0, duration 0.
+Checksums of all three layers are verified: over the header and layer I's allocation, layer II's allocation and scale factor selection,
+layer III's side information. Free-format frames (rate 0) are not told and are stepped over. Durations count whole frames: the
+encoder's delay and padding, where a table gives them, are not taken off.
+
+Null bytes: all fields null but the counts, which are 0. Empty bytes or no frame at all: counts 0, duration 0. Damaged bytes never fail: what
+can't be read is skipped or null. Repeated rows, each its own; an empty table, an empty one. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -15,10 +20,13 @@ import zlib
 from dataclasses import dataclass, field
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quarrylens.llm.common import map_rows
+from quarrylens.llm.common import bounded_batches, fresh, map_rows
 
 # Fixed values of the format: kbit/s by (MPEG-1 or not, layer), samples a second by version bits, samples a frame.
 RATES = {
@@ -29,6 +37,14 @@ RATES = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Layer II: bits of allocation in each subband, by table (a to d for MPEG-1, e for the lower rates), as (bits, subbands).
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "e": ((4, 4), (3, 7), (2, 19)),
+}
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 
@@ -54,6 +70,15 @@ def crc16(data: bytes, start: int = 0xFFFF) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, start: int = 0xFFFF) -> int:
+    """The checksum of the first ``bits`` bits."""
+    c = crc16(data[: bits // 8], start)
+    for k in range(bits % 8):
+        bit = data[bits // 8] >> (7 - k) & 1
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
     mpeg1: bool
@@ -64,12 +89,40 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int  # the first subband whose allocation both channels share
 
     @property
     def side(self) -> int:
         """Bytes of layer III side information."""
         return (17 if self.mono else 32) if self.mpeg1 else (9 if self.mono else 17)
 
+    @property
+    def allocation(self) -> list[int]:
+        """Layer II: bits of allocation of each subband."""
+        rate = self.kbps // (1 if self.mono else 2)
+        if not self.mpeg1:
+            table = "e"
+        elif rate <= 48:
+            table = "d" if self.hertz == 32000 else "c"
+        else:
+            table = "a" if self.hertz == 48000 or rate <= 80 else "b"
+        return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+    def checked_bits(self, body: bytes) -> int:
+        """How many bits after the checksum it covers."""
+        if self.layer == 3:
+            return 8 * self.side
+        channels = 1 if self.mono else 2
+        if self.layer == 1:
+            return 4 * (32 if self.mono else 32 + self.bound)
+        bits, at, picked = "".join(f"{b:08b}" for b in body[:96]), 0, 0
+        for subband, n in enumerate(self.allocation):
+            own = channels if subband < self.bound else 1
+            for _ in range(own):
+                picked += (channels // own) * ("1" in bits[at : at + n])
+                at += n
+        return at + 2 * picked
+
 
 _HEADERS: dict[int, Header | None] = {}
 
@@ -83,7 +136,7 @@ def header(word: int) -> Header | None:
         key = (version == 3, layer)
         kbps, hertz, pad = RATES[key][rate], HERTZ[version][hz], word >> 9 & 1
         size = (12000 * kbps // hertz + pad) * 4 if layer == 1 else SAMPLES[key] // 8 * 1000 * kbps // hertz + pad
-        out = Header(version == 3, layer, not word >> 16 & 1, kbps, hertz, word >> 6 & 3 == 3, size, SAMPLES[key])
+        out = Header(version == 3, layer, not word >> 16 & 1, kbps, hertz, word >> 6 & 3 == 3, size, SAMPLES[key], 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32)
     if len(_HEADERS) < 1 << 14:
         _HEADERS[word] = out
     return out
@@ -145,25 +198,38 @@ def _id3v1(data: bytes) -> dict[str, str]:
     return {k: v for k, v in (("TIT2", text(n + 3, n + 33)), ("TPE1", text(n + 33, n + 63)), ("TALB", text(n + 63, n + 93)), ("TDRC", text(n + 93, n + 97))) if v}
 
 
-def _rate_table(data: bytes, at: int, h: Header, into: Stream) -> bool:
-    """Whether the frame is a table of a variable-rate (Xing), constant-rate (Info) or VBRI stream."""
-    x = at + 4 + 2 * h.protected + h.side
-    if data[x : x + 4] in (b"Xing", b"Info"):
-        flags, x = struct.unpack(">I", data[x + 4 : x + 8])[0], x + 8
+def _rate_table(frame: bytes, h: Header, into: Stream) -> bool:
+    """Whether the frame is a table of a variable-rate (Xing), constant-rate (Info) or VBRI stream. Fields beyond the frame's end stay null."""
+
+    def number(at: int, n: int) -> int | None:
+        return int.from_bytes(frame[at : at + n], "big") if at + n <= len(frame) else None
+
+    x = 4 + 2 * h.protected + h.side
+    if frame[x : x + 4] in (b"Xing", b"Info"):
+        flags, x = number(x + 4, 4) or 0, x + 8
         for bit, name in ((1, "table_frames"), (2, "table_bytes")):
             if flags & bit:
-                setattr(into, name, struct.unpack(">I", data[x : x + 4])[0])
+                setattr(into, name, number(x, 4))
                 x += 4
-        if flags & 4:
-            into.toc = list(data[x : x + 100])
+        if flags & 4 and x + 100 <= len(frame):
+            into.toc = list(frame[x : x + 100])
         return True
-    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= len(data):
-        into.table_bytes, into.table_frames, n, scale, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
-        into.toc = [int.from_bytes(data[at + 62 + i * width : at + 62 + (i + 1) * width], "big") * scale for i in range(n)]
+    if frame[36:40] == b"VBRI":
+        into.table_bytes, into.table_frames = number(46, 4), number(50, 4)
+        n, scale, width = (number(at, 2) or 0 for at in (54, 56, 58))
+        if width and 62 + n * width <= len(frame):
+            into.toc = [number(62 + i * width, width) * scale for i in range(n)]
         return True
     return False
 
 
+def _sound(h: Header, frame: bytes) -> bool:
+    """Whether a protected frame's checksum holds."""
+    body = frame[6:]
+    bits = h.checked_bits(body)
+    return bits <= 8 * len(body) and crc16_bits(body, bits, crc16(frame[2:4])) == int.from_bytes(frame[4:6], "big")
+
+
 def parse(data: bytes, seek_every: int = 100) -> Stream:
     """Every frame of a stream. ``seek``: (first sample, byte offset) of each ``seek_every``th frame."""
     out = Stream()
@@ -189,10 +255,10 @@ def parse(data: bytes, seek_every: int = 100) -> Stream:
                 out.skipped += 1
                 continue
             synced = True
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            out.bad_crc += crc16(data[at + 6 : at + 6 + h.side], crc16(data[at + 2 : at + 4])) != int.from_bytes(data[at + 4 : at + 6], "big")
-        if not (first and h.layer == 3 and _rate_table(data, at, h, out)):
+            out.bad_crc += not _sound(h, data[at : at + h.size])
+        if not (first and h.layer == 3 and _rate_table(data[at : at + h.size], h, out)):
             if out.frames % seek_every == 0:
                 out.seek.append((out.samples, at))
             out.hertz, out.channels, out.layer = out.hertz or h.hertz, out.channels or (1 if h.mono else 2), out.layer or h.layer
@@ -247,18 +313,29 @@ AUDIO = "duration_us long, frames long, samples long, sample_rate int, channels
 
 
 def audio_columns(df: DataFrame, column: str, seek_every: int = 100) -> DataFrame:
-    """``column`` (binary) and, in ``AUDIO``'s columns, what its stream holds; a row for each row of ``df``."""
-
-    def make():
-        def one(data):
-            if data is None:
-                return (None, None, 0, 0, *[None] * 4, 0, 0, 0, *[None] * 4)
-            s = parse(bytes(data), seek_every)
-            return (data, s.duration_us, s.frames, s.samples, s.hertz, s.channels, s.layer, s.variable, s.checked, s.bad_crc, s.skipped, s.table_frames, s.table_bytes, list(s.tags.items()), [{"sample": a, "offset": b} for a, b in s.seek])
-
-        return one
-
-    return map_rows(df.select(F.col(column).alias("media")), make, f"media binary, {AUDIO}")
+    """``df`` with ``AUDIO``'s columns of what the streams in ``column`` (binary) hold; a name that ``df`` has gets an underscore before it."""
+    have = {c.lower() for c in df.columns}
+    fields = _parse_datatype_string(AUDIO).fields
+    for f in fields:
+        if f.name.lower() in have:
+            f.name = fresh(df, f.name)[0]
+    schema = StructType([*df.schema.fields, *fields])
+    kinds, n, place = to_arrow_schema(schema), len(df.columns), df.columns.index(column)
+
+    def one(data):
+        if data is None:
+            return (None, 0, 0, *[None] * 4, 0, 0, 0, *[None] * 4)
+        s = parse(bytes(data), seek_every)
+        return (s.duration_us, s.frames, s.samples, s.hertz, s.channels, s.layer, s.variable, s.checked, s.bad_crc, s.skipped, s.table_frames, s.table_bytes, list(s.tags.items()), [{"sample": a, "offset": b} for a, b in s.seek])
+
+    def run(batches):
+        for batch in batches:
+            found = [one(data) for data in batch.column(place).to_pylist()]
+            new = [pa.array([row[i] for row in found], kinds.field(n + i).type) for i in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=kinds.names)
+
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def store_text(text: str | None) -> tuple[bytes, int]:

@@ -206,6 +206,68 @@ def test_media_columns_of_damaged_streams(spark):
     assert rows[2]["duration_us"] is None and rows[3]["duration_us"] == 0
 
 
+def _bit_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15 & 1) != int(b) else 0)
+    return c
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = random.Random(3)
+    bits = lambda b: "".join(f"{x:08b}" for x in b)
+    # (header, bits of allocation by subband, channels, first shared subband): 128 and 64 kbit/s at 44.1 kHz, and 96 at 48; joint stereo, mono, stereo
+    cases = [
+        (0xFFFE5050, [4] * 32, 2, 8, 1),
+        (0xFFFE50C0, [4] * 32, 1, 32, 1),
+        (0xFFFC8000, [4] * 11 + [3] * 12 + [2] * 4, 2, 32, 2),
+        (0xFFFC4060, [4] * 2 + [3] * 6, 2, 12, 2),
+        (0xFFFC80C0, [4] * 11 + [3] * 12 + [2] * 7, 1, 32, 2),
+        (0xFFF44040, [4] * 4 + [3] * 7 + [2] * 19, 2, 4, 2),
+    ]
+    for word, table, channels, bound, layer in cases:
+        h = mpeg_audio.header(word)
+        assert h is not None and h.layer == layer and h.protected
+        body = bytearray(rng.randrange(256) * (rng.random() < 0.5) for _ in range(h.size - 6))
+        stream, at, selected = bits(body), 0, 0
+        for subband, n in enumerate(table):
+            for _ in range(channels if subband < bound else 1):
+                if layer == 2 and "1" in stream[at : at + n]:
+                    selected += 1 if subband < bound else channels
+                at += n
+        head = struct.pack(">I", word)
+        crc = _bit_crc(bits(head[2:]) + stream[: at + 2 * selected])
+        frame = head + struct.pack(">H", crc) + bytes(body)
+        broken = frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]
+        found = mpeg_audio.parse(frame * 2)
+        assert (found.frames, found.checked, found.bad_crc) == (2, 2, 0), hex(word)
+        assert mpeg_audio.parse(frame + broken).bad_crc == 1
+
+
+def test_cut_off_tables_and_random_bytes_never_fail():
+    short = struct.pack(">I", 0xFFF31400)  # MPEG-2 layer III of 8 kbit/s at 24 kHz: 24 bytes
+    assert mpeg_audio.header(0xFFF31400).size == 24
+    frame = short + bytes(16) + b"Xing"
+    for stream in (frame * 3, (short + b"\0" * 17)[:20] + b"Xing", frame[:23]):
+        found = mpeg_audio.parse(stream)
+        assert found.table_frames is None and found.toc is None
+    rng = random.Random(5)
+    good = mpeg_audio.write(bytes(2000), {"TIT2": "x"})
+    for _ in range(300):
+        data = bytearray(good if rng.random() < 0.5 else rng.randbytes(400))
+        for _ in range(rng.randrange(1, 30)):
+            data[rng.randrange(min(600, len(data)))] = rng.choice((0, 255, 0x49, rng.randrange(256)))
+        mpeg_audio.parse(bytes(data[: rng.randrange(1, len(data))]))
+
+
+def test_audio_columns_keep_the_others(spark):
+    df = spark.createDataFrame([(7, mpeg_audio.write(b"abc"), 1.5, ["t"])], "id long, media binary, Frames double, tags array<string>")
+    out = mpeg_audio.audio_columns(df, "media")
+    row = out.first()
+    assert out.columns[:4] == df.columns and (row["id"], row["Frames"], row["tags"]) == (7, 1.5, ["t"])
+    assert row["_frames"] == 1 and row["_tags"] == {} and row["checked"] == 2
+
+
 def test_frame_sizes_of_all_layers():
     for word, size, samples in ((0xFFFB9000, 417, 1152), (0xFFFD9000, 522, 1152), (0xFFFF9000, 312, 384), (0xFFF39000, 261, 576)):
         h = mpeg_audio.header(word)
