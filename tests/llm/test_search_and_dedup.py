@@ -29,8 +29,8 @@ def brute_top(rows, step, k):
 
 @pytest.mark.parametrize("n", [0, 1, 4, 700])
 def test_top_k_is_exact(spark, n, monkeypatch):
-    monkeypatch.setattr(mtree, "SHARD_ROWS", 200)
-    monkeypatch.setattr(mtree, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(mtree, "SHARD_BYTES", 200 * 64)
+    monkeypatch.setattr(mtree, "BLOCK_BYTES", 20 * 64)
     rng = random.Random(n)
     centres = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(4)]
     rows = [(i, [x + rng.gauss(0, 0.2) for x in rng.choice(centres)]) for i in range(n)]
