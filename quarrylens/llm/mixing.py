@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-random order within a source, prefix sums, exact budgets, repeated epochs.
 
-A document's key is the MD5 of a seed and its id, so its place in its source is random but the same in every run. Keys
+A document's key is the MD5 of a seed and its id (without one, its text), so its place in its source is random but the same in every run. Keys
 are dealt into ranges (their first digits); sums of sizes by (source, range) are a small table whose running sums give each
 range its offset, and a window within one (source, range) does the rest. No window spans a source, however many of
 the rows it holds.
@@ -56,9 +56,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     A source of size S and target T (whole words) gives T // S epochs of all its documents, then documents in key order up
     to exactly T: the one at the cut gives its first words only.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *keep)
-    key = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(sized.withColumn("key", key).withColumn("part", F.substring("key", 1, RANGE_DIGITS)))
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"), *keep)
+    sized = cut(sized.withColumn("part", F.substring("key", 1, RANGE_DIGITS)))
     sums = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,12 +95,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
 
 def _first_words(text, n):
-    """The first ``n`` words of a text, one space between them."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, n.cast("int")), " ")
+    """A text up to the end of its ``n``th word, as it stands."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), 1, n.cast("int")), "")
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS ord FROM d GROUP BY source),
 w AS (SELECT *, CAST(1 + (ord - 1) % 3 AS BIGINT) AS w, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
 l AS (SELECT *, total - CAST(coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / w, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,

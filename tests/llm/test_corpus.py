@@ -72,6 +72,14 @@ def test_mixed_documents_hold_the_words_taken(spark):
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
     assert out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == plan
+    whole = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert all(whole[r["doc_id"]].startswith(r["text"]) for r in out.collect())  # a cut text is its start as it stands
+
+
+def test_rows_without_ids_are_dealt_by_text(spark):
+    df = spark.createDataFrame([(None, f"w{i} x", "a", 1, "x", "y", "z") for i in range(300)], DOCS)
+    key = mixing.mix(df.withColumn("source", F.col("doc_id").cast("string")))
+    assert key.count() == 300 and key.agg(F.sum("taken")).first()[0] == 600
 
 
 def test_quality_on_held_out_labels(spark):
