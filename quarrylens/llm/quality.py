@@ -119,7 +119,7 @@ def smoothed(counts: DataFrame, alphabets: dict[str, Alphabet]) -> DataFrame:
     its context's total and its three kinds of successors: a join of an order's table with its sums by context, on the shard of
     the context.
     """
-    out, table = None, counts.withColumn("base", _base(alphabets))
+    out, table = None, cut(counts.withColumn("base", _base(alphabets)))
     for k in range(ORDER, 0, -1):
         held = table.withColumn("ctx", F.expr("gram div base"))
         of = held.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -135,7 +135,7 @@ def smoothed(counts: DataFrame, alphabets: dict[str, Alphabet]) -> DataFrame:
         out = rows if out is None else out.union(rows)
         if k > 1:  # different characters before each shorter n-gram
             shorter = F.expr(f"gram % ({' * '.join(['base'] * (k - 1))})").alias("gram")
-            table = table.select("lang", "base", shorter).groupBy("lang", "base", "gram").agg(F.count("*").alias("c"))
+            table = cut(table.select("lang", "base", shorter).groupBy("lang", "base", "gram").agg(F.count("*").alias("c")))
     return out
 
 
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     known = trusted(docs, labels, id_col, lang_col, text_col)
     alphabets = {lang: Alphabet(classes) for lang, classes in sorted(_alphabets(known).items())}
-    rows = cut(smoothed(cut(count_tables(known, alphabets)), alphabets)) if alphabets else None
+    rows = cut(smoothed(count_tables(known, alphabets), alphabets)) if alphabets else None
     model = Model(docs.sparkSession, alphabets, rows, most_rows)
     unseen = model.scored(known, "text", F.col("lang"), "perplexity", 1 - F.col("half"))
     return model, cut(unseen.select("lang", "perplexity")).filter("perplexity IS NOT NULL")
