@@ -9,6 +9,9 @@ Arcs of a copy are those of its original but for one, so a state stores its orig
 Which arcs leave it follows from that, and those that a text needs are put in a transition table.
 The strings of tokens make a second automaton (a trie with suffix links). Encoding runs over a word's symbols once: at each
 it has the tokens that end there, longest first, and takes the one whose arc leaves the state reached where it starts.
+
+Null text is encoded as an empty one. Repeated rows, each its own; an empty table gives an empty one; ids that are no numbers become null.
+Texts are encoded whole, whatever their length; other columns are not read.
 """
 
 from __future__ import annotations

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions.lineage import shared_folder
+
 #: Arrow batches that go to Python: long texts make records alone a poor bound.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
@@ -24,25 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        there = there or tempfile.mkdtemp(prefix="quarrylens-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there or held.get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, which lost executors don't take along."""
-    checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again; for rows that hold text."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,9 @@ the links it takes, and each link pops, so a word takes time in proportion to it
 
 A word is a run of bytes other than ASCII white space, with one space before it: pieces that start with a space stand only at
 a word's start, all others only after it. The 256 single bytes are pieces, so every word has a count.
+
+Null text has no words. Repeated rows, each its own; an empty table gives an empty one; ids that are no numbers become null. Texts are
+counted whole, whatever their length; other columns are not read.
 """
 
 from __future__ import annotations
