@@ -8,34 +8,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.operators.sqlop import SqlOp
-
-MISSING_WHERE = SqlOp("Columns of conditions, not LOW, that lead no index; a condition without a table is of the query's first one.", """
-SELECT DISTINCT c.query_id, lower(coalesce(c.table_name, q.primary_table)) AS table_name, lower(c.column_name) AS column_name FROM {conditions} c JOIN {queries} q ON q.query_id = c.query_id
-WHERE NOT c.is_join AND c.cardinality <> 'LOW' AND NOT EXISTS (SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = lower(coalesce(c.table_name, q.primary_table)) AND m.column_name = lower(c.column_name))""")
-MISSING_JOIN = SqlOp("Right-hand columns of joins that lead no index and aren't missing already.", """
-SELECT DISTINCT j.query_id, lower(j.table_name) AS table_name, lower(j.column_name) AS column_name, concat(lower(j.column_name), ' (JOIN)') AS label FROM {conditions} j
-WHERE j.is_join AND NOT EXISTS (SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = lower(j.table_name) AND m.column_name = lower(j.column_name))
-AND NOT EXISTS (SELECT 1 FROM {missing} w WHERE w.query_id = j.query_id AND w.table_name = lower(j.table_name) AND w.column_name = lower(j.column_name))""")
-COLUMNS_BY_TABLE = SqlOp("Columns a query needs of a table, in order of first use, LOW ones left out; joins after conditions.", """
-SELECT query_id, table_name, column_name, row_number() OVER (PARTITION BY query_id, table_name ORDER BY first_use, column_name) AS place FROM (
-SELECT query_id, lower(table_name) AS table_name, lower(column_name) AS column_name, min(position + CASE WHEN is_join THEN 1000 ELSE 0 END) AS first_use FROM {conditions} WHERE cardinality <> 'LOW' GROUP BY query_id, lower(table_name), lower(column_name)) x""")
-SINGLES = SqlOp("Proposals of one column: not led by an index.", """
-SELECT DISTINCT table_name, column_csv FROM {proposals} p WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = p.table_name AND m.column_name = p.column_csv)""")
-COMPOSITES = SqlOp("Proposals of several columns, the first k of each: not the start of an index.", """
-SELECT DISTINCT table_name, column_csv FROM {proposals} p WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM {indexes} i WHERE i.table_name = p.table_name AND (i.column_csv = p.column_csv OR left(i.column_csv, length(p.column_csv) + 1) = concat(p.column_csv, ',')))""")
-PRUNED_COMPOSITES = SqlOp("Composites that no other of their table strictly starts with; case is ignored. The table is the join's key, the prefix its filter.", """
-SELECT DISTINCT lower(table_name) AS table_name, lower(column_csv) AS column_csv FROM {composites} a WHERE NOT EXISTS (SELECT 1 FROM {composites} b WHERE lower(b.table_name) = lower(a.table_name) AND left(lower(b.column_csv), length(a.column_csv) + 1) = concat(lower(a.column_csv), ','))""")
-PRUNED_SINGLES = SqlOp("Singles that lead no composite of their table.", """
-SELECT DISTINCT lower(table_name) AS table_name, lower(column_csv) AS column_csv FROM {singles} s WHERE NOT EXISTS (SELECT 1 FROM {composites} b WHERE lower(b.table_name) = lower(s.table_name) AND lower(split_part(b.column_csv, ',', 1)) = lower(s.column_csv))""")
-DROP_CANDIDATES = SqlOp("Plain named indexes whose leading column is LOW.", """
-SELECT DISTINCT i.table_name, i.index_name FROM {indexes} i JOIN {cardinalities} c ON lower(c.table_name) = lower(i.table_name) AND lower(c.column_name) = lower(split_part(i.column_csv, ',', 1)) WHERE i.index_type = 'INDEX' AND c.cardinality = 'LOW' AND i.index_name <> '<unnamed>'""")
-COVERED_BY_COMPOSITE = SqlOp("Singles that a composite of their table starts with.", """
-SELECT DISTINCT s.table_name, s.column_csv FROM {singles} s WHERE EXISTS (SELECT 1 FROM {composites} b WHERE b.table_name = s.table_name AND split_part(b.column_csv, ',', 1) = s.column_csv)""")
-BATCHES = SqlOp("Batches of five queries a repository, in order; methods with a body, and save, are left out.", """
-SELECT repository, query_id, method, CAST(floor((row_number() OVER (PARTITION BY repository ORDER BY query_id) - 1) / 5) AS BIGINT) AS batch FROM {queries} WHERE NOT has_body AND method <> 'save'""")
-RECOMMENDED = SqlOp("Recommendations with their queries, matched by id, so that left-out queries shift nothing.", """
-SELECT b.repository, b.query_id, r.recommendation FROM {batches} b JOIN {recommendations} r ON r.query_id = b.query_id""")
+from quarrylens.operators.sqlop import SqlOp, starts
+
+MISSING_WHERE = SqlOp(
+    "Columns of conditions, not LOW, that lead no index; a condition without a table is of the query's first one.",
+    """
+SELECT DISTINCT c.query_id, lower(coalesce(c.table_name, q.primary_table)) AS table_name, lower(c.column_name) AS column_name
+FROM {conditions} c JOIN {queries} q ON q.query_id = c.query_id
+WHERE NOT c.is_join AND c.cardinality <> 'LOW' AND NOT EXISTS (
+  SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = lower(coalesce(c.table_name, q.primary_table)) AND m.column_name = lower(c.column_name))""",
+)
+MISSING_JOIN = SqlOp(
+    "Right-hand columns of joins that lead no index and aren't missing already.",
+    """
+SELECT DISTINCT j.query_id, lower(j.table_name) AS table_name, lower(j.column_name) AS column_name, concat(lower(j.column_name), ' (JOIN)') AS label
+FROM {conditions} j
+WHERE j.is_join
+  AND NOT EXISTS (SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = lower(j.table_name) AND m.column_name = lower(j.column_name))
+  AND NOT EXISTS (SELECT 1 FROM {missing} w WHERE w.query_id = j.query_id AND w.table_name = lower(j.table_name) AND w.column_name = lower(j.column_name))""",
+)
+COLUMNS_BY_TABLE = SqlOp(
+    "Columns a query needs of a table, in order of first use, LOW ones left out; joins after conditions.",
+    """
+SELECT query_id, table_name, column_name, row_number() OVER (PARTITION BY query_id, table_name ORDER BY first_use, column_name) AS place
+FROM (
+  SELECT query_id, lower(table_name) AS table_name, lower(column_name) AS column_name, min(struct(is_join, position)) AS first_use
+  FROM {conditions} WHERE cardinality <> 'LOW' GROUP BY query_id, lower(table_name), lower(column_name)
+) x""",
+)
+SINGLES = SqlOp(
+    "Proposals of one column: not led by an index.",
+    """
+SELECT DISTINCT table_name, column_csv FROM {proposals} p
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {members} m WHERE m.place = 1 AND m.table_name = p.table_name AND m.column_name = p.column_csv)""",
+)
+COMPOSITES = SqlOp(
+    "Proposals of several columns, the first k of each: not the start of an index. Each index gives its starts, so tables with many are no products.",
+    f"""
+WITH starts AS (SELECT DISTINCT table_name, start FROM {{indexes}} LATERAL VIEW explode({starts("column_csv")}) v AS start)
+SELECT DISTINCT p.table_name, p.column_csv FROM {{proposals}} p LEFT ANTI JOIN starts s ON s.table_name = p.table_name AND s.start = p.column_csv
+WHERE p.n > 1""",
+)
+PRUNED_COMPOSITES = SqlOp(
+    "Composites that no other of their table strictly starts with; case is ignored. Each gives its own starts, which are then left out.",
+    f"""
+WITH lists AS (SELECT DISTINCT lower(table_name) AS table_name, lower(column_csv) AS column_csv FROM {{composites}}),
+starts AS (SELECT DISTINCT table_name, start FROM lists LATERAL VIEW explode({starts("column_csv")}) v AS start WHERE start <> column_csv)
+SELECT l.table_name, l.column_csv FROM lists l LEFT ANTI JOIN starts s ON s.table_name = l.table_name AND s.start = l.column_csv""",
+)
+PRUNED_SINGLES = SqlOp(
+    "Singles that lead no composite of their table.",
+    """
+SELECT DISTINCT lower(table_name) AS table_name, lower(column_csv) AS column_csv FROM {singles} s
+WHERE NOT EXISTS (SELECT 1 FROM {composites} b WHERE lower(b.table_name) = lower(s.table_name) AND lower(split_part(b.column_csv, ',', 1)) = lower(s.column_csv))""",
+)
+DROP_CANDIDATES = SqlOp(
+    "Plain named indexes whose leading column is LOW.",
+    """
+SELECT DISTINCT i.table_name, i.index_name
+FROM {indexes} i JOIN {cardinalities} c ON lower(c.table_name) = lower(i.table_name) AND lower(c.column_name) = lower(split_part(i.column_csv, ',', 1))
+WHERE i.index_type = 'INDEX' AND c.cardinality = 'LOW' AND i.index_name <> '<unnamed>'""",
+)
+COVERED_BY_COMPOSITE = SqlOp(
+    "Singles that a composite of their table starts with.",
+    """
+SELECT DISTINCT s.table_name, s.column_csv FROM {singles} s
+WHERE EXISTS (SELECT 1 FROM {composites} b WHERE b.table_name = s.table_name AND split_part(b.column_csv, ',', 1) = s.column_csv)""",
+)
+BATCHES = SqlOp(
+    "Batches of five queries a repository, in order; methods with a body, and save, are left out.",
+    """
+SELECT repository, query_id, method, CAST(floor((row_number() OVER (PARTITION BY repository ORDER BY query_id) - 1) / 5) AS BIGINT) AS batch
+FROM {queries} WHERE NOT has_body AND method <> 'save'""",
+)
+RECOMMENDED = SqlOp(
+    "Recommendations with their queries, matched by id, so that left-out queries shift nothing.",
+    """
+SELECT b.repository, b.query_id, r.recommendation FROM {batches} b JOIN {recommendations} r ON r.query_id = b.query_id""",
+)
 
 DIALECTS = ("POSTGRESQL", "ORACLE", "MYSQL", "H2")
 

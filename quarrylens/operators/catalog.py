@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.operators.sqlop import SqlOp
+from quarrylens.operators.sqlop import SqlOp, starts
 
 ADDED = SqlOp(
     "Entries that changes add: indexes, keys and unique constraints; entries without a column are none, unnamed ones are <unnamed>.",
@@ -31,7 +31,10 @@ GROUP BY table_name, index_type, index_name, column_csv""",
 )
 REPORT = SqlOp(
     "The catalog in report order: table, then keys, unique entries, indexes.",
-    """SELECT table_name, index_type, index_name, column_csv, row_number() OVER (PARTITION BY table_name ORDER BY CASE index_type WHEN 'PRIMARY_KEY' THEN 0 WHEN 'UNIQUE_CONSTRAINT' THEN 1 WHEN 'UNIQUE_INDEX' THEN 1 ELSE 2 END, seq, index_name, column_csv) AS place FROM {indexes}""",
+    """
+SELECT table_name, index_type, index_name, column_csv, row_number() OVER (PARTITION BY table_name
+  ORDER BY CASE index_type WHEN 'PRIMARY_KEY' THEN 0 WHEN 'UNIQUE_CONSTRAINT' THEN 1 WHEN 'UNIQUE_INDEX' THEN 1 ELSE 2 END, seq, index_name, column_csv) AS place
+FROM {indexes}""",
 )
 FOREIGN_KEYS = SqlOp(
     "Foreign keys of a changelog; object_name is the constraint, column_csv is column>table>column.",
@@ -39,7 +42,7 @@ FOREIGN_KEYS = SqlOp(
 )
 CONSTRAINT_NAME = SqlOp(
     "Name of the foreign key on each (table_name, column_name): tables as written before tables alike but for case, then the first; else a made name.",
-    """SELECT a.table_name, a.column_name, a.ref_table, coalesce(min_by(f.constraint_name, CASE WHEN f.base_table = a.table_name THEN 0 ELSE 1000000000 END + f.seq), concat('fk_', a.ref_table, '_', a.table_name)) AS constraint_name
+    """SELECT a.table_name, a.column_name, a.ref_table, coalesce(min_by(f.constraint_name, struct(f.base_table <> a.table_name, f.seq)), concat('fk_', a.ref_table, '_', a.table_name)) AS constraint_name
 FROM {asked} a LEFT JOIN {keys} f ON lower(f.base_table) = lower(a.table_name) AND lower(f.base_column) = lower(a.column_name) GROUP BY a.table_name, a.column_name, a.ref_table""",
 )
 CARDINALITY = SqlOp(
@@ -57,7 +60,12 @@ CARDINALITY = SqlOp(
 KEY_COLUMNS = SqlOp("(table_name, column_name) in a primary key, at any place.", "SELECT DISTINCT table_name, column_name FROM {members} WHERE index_type = 'PRIMARY_KEY'")
 UNIQUE_COLUMNS = SqlOp("(table_name, column_name) in a unique constraint or index.", "SELECT DISTINCT table_name, column_name FROM {members} WHERE index_type IN ('UNIQUE_CONSTRAINT', 'UNIQUE_INDEX')")
 HAS_LEADING = SqlOp("Asked (table_name, column_name) that lead an index.", "SELECT a.table_name, a.column_name FROM {asked} a WHERE EXISTS (SELECT 1 FROM {members} m WHERE m.table_name = lower(a.table_name) AND m.column_name = lower(a.column_name) AND m.place = 1)")
-COVERED = SqlOp("Asked (table_name, column_csv) that an index starts with, in order.", "SELECT a.table_name, a.column_csv FROM {asked} a WHERE EXISTS (SELECT 1 FROM {indexes} i WHERE i.table_name = lower(a.table_name) AND (i.column_csv = lower(a.column_csv) OR left(i.column_csv, length(a.column_csv) + 1) = concat(lower(a.column_csv), ',')))")
+COVERED = SqlOp(
+    "Asked (table_name, column_csv) that an index starts with, in order. Each index gives its starts, so tables with many are no products.",
+    f"""
+WITH starts AS (SELECT DISTINCT table_name, start FROM {{indexes}} LATERAL VIEW explode({starts("column_csv")}) v AS start)
+SELECT a.table_name, a.column_csv FROM {{asked}} a LEFT SEMI JOIN starts s ON s.table_name = lower(a.table_name) AND s.start = lower(a.column_csv)""",
+)
 
 _CREATE = r"(?i)^\s*create\s+(unique\s+)?index\s+(?:concurrently\s+)?(?:if\s+not\s+exists\s+)?([^\s(]+)\s+on\s+([^\s(]+)\s*\(([^)]*)\)"
 _DROP = r"(?i)^\s*drop\s+index\s+(?:concurrently\s+)?(?:if\s+exists\s+)?([^\s;]+)(?:\s+on\s+([^\s;]+))?"

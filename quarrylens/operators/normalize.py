@@ -79,6 +79,8 @@ def rebuilt(parts: dict[str, DataFrame], base: str, mappings: list[tuple[str, st
         new = k[2] if k[0] in joined else k[0]
         out = out.join(side[new], F.col(f"{k[0]}__{k[1]}") == F.col(f"{k[2]}__{k[3]}"))
         joined.add(new)
+    if lost := sorted({t for _, t, _ in mappings} - joined):
+        raise ValueError(f"no key joins {', '.join(lost)} to {base}")
     return out.select(*[F.col(f"{t}__{c}").alias(v) for v, t, c in mappings])
 
 

@@ -17,3 +17,8 @@ class SqlOp:
     def __call__(self, **inputs: DataFrame) -> DataFrame:
         spark = next(iter(inputs.values())).sparkSession
         return spark.sql(self.sql, **inputs)
+
+
+def starts(csv: str) -> str:
+    """SQL for the array of all column lists that the list ``csv`` starts with, itself last."""
+    return f"transform(sequence(1, size(split({csv}, ','))), k -> array_join(slice(split({csv}, ','), 1, k), ','))"

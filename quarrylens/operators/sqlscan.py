@@ -274,11 +274,12 @@ def _spaced(part: list[str]) -> str:
 
 
 def scan(sql: str | None) -> _Scan | None:
+    """A statement's scan; null if it can't be read, or nests deeper than the interpreter's stack."""
     try:
         s = _Scan(sql or "")
         s.statement()
         return s
-    except (IndexError, ValueError):
+    except (IndexError, ValueError, RecursionError):
         return None
 
 

@@ -28,14 +28,58 @@ PRICES = {
     "gpt-4": (30.00, 30.00, 60.00, 60.00, 0.25, 128000),
 }
 
-COUNTERS = SqlOp("Counters by repository, and their total in the row without one.", "SELECT repo, count(*) AS n_queries, CAST(sum(changed) AS BIGINT) AS n_changed FROM {runs} GROUP BY ROLLUP (repo)")
-DEDUPED = SqlOp("The first row of each (repository in lower case, queries, annotations), and how many there were.", "SELECT lower(trim(repo)) AS repo_key, queries, annotations, min(line_no) AS line_no, min_by(repo, line_no) AS repo, count(*) AS n FROM {lines} WHERE trim(repo) <> 'repository' GROUP BY lower(trim(repo)), queries, annotations")
-COSTS = SqlOp("Input and output cost; the tier goes by input tokens for both, cached tokens cost their share.", """
-SELECT u.id, CAST(round((u.input_tokens - u.cached_tokens) / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END + u.cached_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END * p.cached, 12) AS DOUBLE) AS input_cost,
- CAST(round(u.output_tokens / 1000000.0 * CASE WHEN u.input_tokens <= p.tier THEN p.out_low ELSE p.out_high END, 12) AS DOUBLE) AS output_cost FROM {used} u JOIN {prices} p ON p.model = u.model""")
-USAGE = SqlOp("Tokens by model and the share of cached ones in percent, 0 without tokens.", "SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(CASE WHEN sum(input_tokens) = 0 THEN 0.0 ELSE round(sum(cached_tokens) * 100.0 / sum(input_tokens), 6) END AS DOUBLE) AS cached_percent FROM {used} GROUP BY model")
-TO_DO = SqlOp("Types still to do: targeted, if any are, not skipped, not done.", "SELECT t.name FROM {types} t WHERE NOT EXISTS (SELECT 1 FROM {skipped} s WHERE s.name = t.name) AND NOT EXISTS (SELECT 1 FROM {done} d WHERE d.name = t.name)")
-MAJORITY = SqlOp("The commonest value of each group, ties to the least.", "SELECT grp, value FROM (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, value) AS n FROM {pairs} GROUP BY grp, value) x WHERE n = 1")
+#: What a run counts for each repository.
+COUNTED = ("queries_analyzed", "annotations_changed", "signatures_changed", "calls_changed", "repositories_modified", "dependents_modified", "indexes_generated", "indexes_dropped")
+COUNTERS = SqlOp(
+    "The eight counters by repository, and their totals in the row without one.",
+    f"SELECT repo, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTED)} FROM {{runs}} GROUP BY ROLLUP (repo)",
+)
+DEDUPED = SqlOp(
+    "Of lines(file, line_no, date, repo, queries, annotations) as text, the first of each (repository in lower case, queries, annotations) of a file, and how many there were. Cells are trimmed, byte order marks go; header lines, blank ones and what stands before a file's first header are left out.",
+    """
+WITH cells AS (
+  SELECT file, line_no, trim(replace(coalesce(date, ''), chr(65279), '')) AS date, trim(replace(coalesce(repo, ''), chr(65279), '')) AS repo,
+    trim(replace(coalesce(queries, ''), chr(65279), '')) AS queries, trim(replace(coalesce(annotations, ''), chr(65279), '')) AS annotations
+  FROM {lines}
+), heads AS (
+  SELECT file, min(line_no) AS head FROM cells WHERE lower(date) = 'date' AND lower(repo) = 'repository name' GROUP BY file
+)
+SELECT c.file, lower(c.repo) AS repo_key, c.queries, c.annotations, min(c.line_no) AS line_no, min_by(c.repo, c.line_no) AS repo, count(*) AS n
+FROM cells c JOIN heads h ON h.file = c.file AND c.line_no > h.head
+WHERE NOT (lower(c.date) = 'date' AND lower(c.repo) = 'repository name') AND concat(c.date, c.repo, c.queries, c.annotations) <> ''
+GROUP BY c.file, lower(c.repo), c.queries, c.annotations""",
+)
+COSTS = SqlOp(
+    "Input and output cost; the tier goes by input tokens for both, cached tokens cost their share.",
+    """
+SELECT id, CAST(round((input_tokens - cached_tokens) / 1000000.0 * price_in + cached_tokens / 1000000.0 * price_in * cached, 12) AS DOUBLE) AS input_cost,
+  CAST(round(output_tokens / 1000000.0 * price_out, 12) AS DOUBLE) AS output_cost
+FROM (
+  SELECT u.*, p.cached, CASE WHEN u.input_tokens <= p.tier THEN p.in_low ELSE p.in_high END AS price_in, CASE WHEN u.input_tokens <= p.tier THEN p.out_low ELSE p.out_high END AS price_out
+  FROM {used} u JOIN {prices} p ON p.model = u.model
+) x""",
+)
+USAGE = SqlOp(
+    "Tokens by model and the share of cached ones in percent, 0 without tokens.",
+    """
+SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN sum(input_tokens) = 0 THEN 0.0 ELSE round(sum(cached_tokens) * 100.0 / sum(input_tokens), 6) END AS DOUBLE) AS cached_percent
+FROM {used} GROUP BY model""",
+)
+TO_DO = SqlOp(
+    "Types still to do: targeted, if any are, not skipped, not done.",
+    """
+SELECT t.name FROM {types} t
+WHERE (NOT EXISTS (SELECT 1 FROM {targets}) OR t.name IN (SELECT g.name FROM {targets} g))
+  AND NOT EXISTS (SELECT 1 FROM {skipped} s WHERE s.name = t.name) AND NOT EXISTS (SELECT 1 FROM {done} d WHERE d.name = t.name)""",
+)
+MAJORITY = SqlOp(
+    "The commonest value of each group, ties to the least.",
+    """
+SELECT grp, value FROM (
+  SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, value) AS n FROM {pairs} GROUP BY grp, value
+) x WHERE n = 1""",
+)
 
 
 def price_table(spark: SparkSession) -> DataFrame:
@@ -66,7 +110,10 @@ def extract_json(text: pd.Series) -> pd.Series:
 
 
 def unwrapped(json: str):
-    """The list in a response: itself, or under recommendations, results, data."""
+    """The list in a response: itself, or under recommendations, results, data, else under the first field; of a value that is neither, itself."""
     v = F.try_parse_json(json)
     picks = [F.try_variant_get(v, f"$.{k}", "string") for k in ("recommendations", "results", "data")]
-    return F.coalesce(*picks, F.try_variant_get(v, "$", "string"))
+    # the first field as written: a parsed object keeps its fields by name
+    first = F.element_at(F.json_object_keys(json), 1)
+    under = F.when(F.substring(F.ltrim(json), 1, 1) == "{", F.from_json(json, "map<string,string>")[first])
+    return F.coalesce(*picks, under, F.try_variant_get(v, "$", "string"))

@@ -23,10 +23,11 @@ def duck(sql: str) -> str:
     return _NAME.sub(r"\1", sql)
 
 
-def bound(op, **projections: str):
+def bound(op, against: str, **projections: str):
     """(query, SQL for the other engine) of an SqlOp whose inputs are projections: SQL over the fixed tables, or over earlier inputs.
 
-    A projection may be an SqlOp itself, whose inputs come before it.
+    A projection may be an SqlOp itself, whose inputs come before it. ``against`` states the operator again, in another way and for the
+    other engine alone: it sees the projections that are SQL, and none of an operator's own SQL.
     """
     sqls = {k: getattr(p, "sql", p) for k, p in projections.items()}
 
@@ -37,5 +38,10 @@ def bound(op, **projections: str):
             held[name] = spark.sql(sql, **{n: held[n] if n in held else tables(spark, sf_dir, n)[0] for n in names})
         return held[""]
 
-    steps = ", ".join(f"{k} AS ({duck(s)})" for k, s in sqls.items())
-    return query, f"WITH {steps} SELECT * FROM ({duck(op.sql)}) AS result"
+    return query, stated(against, **{k: p for k, p in projections.items() if isinstance(p, str)})
+
+
+def stated(sql: str, **projections: str) -> str:
+    """``sql`` for the other engine, with the projections as its first named tables; it may go on with its own."""
+    steps = ", ".join(f"{k} AS ({duck(p)})" for k, p in projections.items())
+    return f"WITH {steps}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {steps} {sql}"

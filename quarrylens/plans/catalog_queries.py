@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.operators import advisor, catalog, normalize, sqlscan
-from quarrylens.plans.bind import bound, duck, rows
+from quarrylens.plans.against import AGAINST
+from quarrylens.plans.bind import bound, duck, rows, stated
 
 CHANGES = """
 SELECT p_partkey AS seq, CASE CAST(p_partkey % 12 AS INT) WHEN 0 THEN 'createIndex' WHEN 1 THEN 'createIndex' WHEN 2 THEN 'addPrimaryKey' WHEN 3 THEN 'addUniqueConstraint' WHEN 4 THEN 'createTable' WHEN 5 THEN 'createTableUnique'
@@ -25,7 +26,7 @@ SELECT CAST(l_orderkey AS BIGINT) AS query_id, CASE WHEN l_linenumber = 7 THEN N
  CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS cardinality, l_linenumber AS position, l_linenumber % 3 = 0 AS is_join FROM {lineitem} WHERE l_linenumber < 8
 """
 PRIMARY = "SELECT CAST(o_orderkey AS BIGINT) AS query_id, 'T0' AS primary_table, concat('repo', o_custkey % 20) AS repository, CASE o_orderkey % 4 WHEN 0 THEN 'save' ELSE concat('find', o_orderkey % 9) END AS method, o_orderkey % 5 = 0 AS has_body FROM {orders}"
-T_INDEXES = "SELECT concat('t', s_suppkey % 10) AS table_name, 'INDEX' AS index_type, concat('i', s_suppkey) AS index_name, CASE WHEN s_suppkey % 3 = 0 THEN concat('col', s_suppkey % 6) ELSE concat('col', s_suppkey % 6, ',col', (s_suppkey + 1) % 6) END AS column_csv, s_suppkey AS seq FROM {supplier}  WHERE s_suppkey % 5 < 2"
+T_INDEXES = "SELECT concat('t', s_suppkey % 10) AS table_name, 'INDEX' AS index_type, concat('i', s_suppkey) AS index_name, CASE WHEN s_suppkey % 3 = 0 THEN concat('col', s_suppkey % 6) ELSE concat('col', s_suppkey % 6, ',col', (s_suppkey + 1) % 6) END AS column_csv, s_suppkey AS seq FROM {supplier}"
 COMPOSITES = "SELECT DISTINCT concat('T', l_suppkey % 10) AS table_name, CASE WHEN l_partkey % 3 = 0 THEN concat('a', l_partkey % 5, ',b', l_suppkey % 4) WHEN l_partkey % 3 = 1 THEN concat('A', l_partkey % 5, ',b', l_suppkey % 4, ',c', l_linenumber) ELSE concat('a', l_partkey % 9, ',d_') END AS column_csv FROM {lineitem}"
 SINGLES = "SELECT DISTINCT concat('t', l_suppkey % 10) AS table_name, concat('a', l_partkey % 12) AS column_csv FROM {lineitem}"
 CARDS = "SELECT DISTINCT concat('t', s_suppkey % 10) AS table_name, concat('col', s_suppkey % 6) AS column_name, CASE WHEN s_suppkey % 6 < 2 THEN 'LOW' ELSE 'HIGH' END AS cardinality FROM {supplier}"
@@ -52,19 +53,11 @@ def _with_members(op, indexes_sql=None, **inputs):
     return query
 
 
-_REPLAY = f"changes AS ({duck(CHANGES)}), added AS ({duck(catalog.ADDED.sql)}), indexes AS ({duck(catalog.REPLAYED.sql)})"
-_M = "members AS (SELECT table_name, lower(trim(unnest(string_split(column_csv, ',')))) AS column_name, index_type, unnest(range(1, 1 + len(string_split(column_csv, ',')))) AS place FROM indexes)"
-_T = f"indexes AS ({duck(T_INDEXES)}), {_M}"
-
-
 def _proposed(s, d):
     return advisor.proposals(advisor.COLUMNS_BY_TABLE(conditions=rows(s, d, CONDITIONS.replace("CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('T', l_suppkey % 10) END", "concat('T', l_suppkey % 10)"))))
 
 
 _COND_T = CONDITIONS.replace("CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('T', l_suppkey % 10) END", "concat('T', l_suppkey % 10)")
-_PROP = f"conditions AS ({duck(_COND_T)}), cols AS ({duck(advisor.COLUMNS_BY_TABLE.sql)}), proposals AS (SELECT query_id, table_name, string_agg(column_name, ',' ORDER BY place) AS column_csv, CAST(count(*) AS INTEGER) AS n FROM cols WHERE place <= 4 GROUP BY query_id, table_name)"
-
-
 def _missing(s, d):
     return _with_members(advisor.MISSING_WHERE, T_INDEXES, conditions=CONDITIONS, queries=PRIMARY)(s, d)
 
@@ -80,8 +73,11 @@ def _ddl(s, d):
     return c.select("dialect", "name", advisor.create_ddl(F.col("dialect"), F.col("name"), F.col("table_name"), F.col("column_csv")).alias("create_sql"), advisor.drop_ddl(F.col("dialect"), F.col("name"), F.col("table_name")).alias("drop_sql"))
 
 
+LONG_NAMES = "SELECT p_partkey, concat('a_long_schema.table name ', p_brand) AS t, concat('first column ', p_type, ',second_', p_partkey) AS c FROM {part}"
+
+
 def _long_names(s, d):
-    p = rows(s, d, "SELECT p_partkey, concat('a_long_schema.table name ', p_brand) AS t, concat('first column ', p_type, ',second_', p_partkey) AS c FROM {part}")
+    p = rows(s, d, LONG_NAMES)
     return p.select("p_partkey", advisor.index_name(F.col("t"), F.col("c")).alias("name"))
 
 
@@ -142,7 +138,7 @@ def _propagated(s, d):
 
 
 def _profiles(s, d):
-    f = rows(s, d, "SELECT c_mktsegment AS entity, concat('f', c_custkey) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Long' ELSE 'String' END AS java_type, c_custkey % 7 = 0 AS is_transient, c_custkey % 11 = 0 AS is_static, CASE WHEN c_custkey % 3 = 0 THEN 'Other' END AS target, c_custkey AS seq FROM {customer} WHERE c_custkey < 100")
+    f = rows(s, d, "SELECT c_mktsegment AS entity, concat('f', c_custkey) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Long' ELSE 'String' END AS java_type, c_custkey % 7 = 0 AS is_transient, c_custkey % 11 = 0 AS is_static, CASE WHEN c_custkey % 3 = 0 THEN 'Other' END AS target, c_custkey AS seq FROM {customer}")
     return normalize.entity_profiles(f)
 
 
@@ -161,7 +157,7 @@ QUERIES, ORACLES = {}, {}
 
 
 def _sql(name, op, **inputs):
-    QUERIES[name], ORACLES[name] = bound(op, **inputs)
+    QUERIES[name], ORACLES[name] = bound(op, AGAINST[name], **inputs)
 
 
 _sql("c1_catalog_replay", catalog.REPLAYED, changes=CHANGES, added=catalog.ADDED)
@@ -212,15 +208,16 @@ QUERIES |= {
     "s11_entity_profiles": _profiles,
 }
 ORACLES |= {
+    "a10_long_index_names": stated(AGAINST["a10_long_index_names"], names=LONG_NAMES),
     "c9_raw_sql_changes": "SELECT p_partkey AS seq, CASE WHEN p_partkey % 4 < 2 THEN 'createIndex' ELSE 'dropIndex' END AS kind, CASE WHEN p_partkey % 4 < 2 THEN p_brand END AS table_name, concat('i', p_partkey) AS object_name, CASE WHEN p_partkey % 4 < 2 THEN concat('a,b', p_size) END AS column_csv, p_partkey % 4 = 0 AS is_unique FROM part WHERE p_partkey % 4 < 3",
-    "d1_cardinality": f"WITH {_REPLAY}, {_M}, columns AS ({duck(COLUMNS)}), high AS ({HIGH}), low AS ({LOW}) {duck(catalog.CARDINALITY.sql)}",
-    "d3_key_columns": f"WITH {_REPLAY}, {_M} {duck(catalog.KEY_COLUMNS.sql)}",
-    "d4_unique_columns": f"WITH {_REPLAY}, {_M} {duck(catalog.UNIQUE_COLUMNS.sql)}",
-    "d5_leading_index": f"WITH {_REPLAY}, {_M}, asked AS ({duck(ASKED)}) {duck(catalog.HAS_LEADING.sql)}",
-    "a1_missing_where": f"WITH {_T}, conditions AS ({duck(CONDITIONS)}), queries AS ({duck(PRIMARY)}) {duck(advisor.MISSING_WHERE.sql)}",
-    "a2_missing_join": f"WITH {_T}, conditions AS ({duck(CONDITIONS)}), queries AS ({duck(PRIMARY)}), missing AS ({duck(advisor.MISSING_WHERE.sql)}) {duck(advisor.MISSING_JOIN.sql)}",
-    "a4_single_proposals": f"WITH {_T}, {_PROP} {duck(advisor.SINGLES.sql)}",
-    "a5_composite_proposals": f"WITH {_T}, {_PROP} {duck(advisor.COMPOSITES.sql)}",
+    "d1_cardinality": stated(AGAINST["d1_cardinality"], changes=CHANGES, columns=COLUMNS, high=HIGH, low=LOW),
+    "d3_key_columns": stated(AGAINST["d3_key_columns"], changes=CHANGES),
+    "d4_unique_columns": stated(AGAINST["d4_unique_columns"], changes=CHANGES),
+    "d5_leading_index": stated(AGAINST["d5_leading_index"], changes=CHANGES, asked=ASKED),
+    "a1_missing_where": stated(AGAINST["a1_missing_where"], indexes=T_INDEXES, conditions=CONDITIONS, queries=PRIMARY),
+    "a2_missing_join": stated(AGAINST["a2_missing_join"], indexes=T_INDEXES, conditions=CONDITIONS, queries=PRIMARY),
+    "a4_single_proposals": stated(AGAINST["a4_single_proposals"], indexes=T_INDEXES, conditions=_COND_T),
+    "a5_composite_proposals": stated(AGAINST["a5_composite_proposals"], indexes=T_INDEXES, conditions=_COND_T),
     "a11_index_ddl": f"""WITH c AS ({duck(COMPOSITES)}), n AS (SELECT *, lower('idx_' || table_name || '_' || replace(column_csv, ',', '_')) AS name, unnest(['POSTGRESQL', 'ORACLE', 'MYSQL', 'H2']) AS dialect FROM c)
 SELECT dialect, name, 'CREATE INDEX ' || CASE dialect WHEN 'POSTGRESQL' THEN 'CONCURRENTLY ' ELSE '' END || name || ' ON ' || table_name || ' (' || replace(column_csv, ',', ', ') || ')' || CASE dialect WHEN 'ORACLE' THEN ' ONLINE;' ELSE ';' END AS create_sql,
 CASE dialect WHEN 'POSTGRESQL' THEN 'DROP INDEX CONCURRENTLY IF EXISTS ' || name WHEN 'ORACLE' THEN 'DROP INDEX ' || name WHEN 'MYSQL' THEN 'DROP INDEX ' || name || ' ON ' || table_name ELSE 'DROP INDEX IF EXISTS ' || name END || ';' AS drop_sql FROM n""",
@@ -240,5 +237,5 @@ CASE dialect WHEN 'POSTGRESQL' THEN 'DROP INDEX CONCURRENTLY IF EXISTS ' || name
     "n5_rebuilt_view": duck(_WIDE),
     "n8_propagated_changes": "WITH c AS (SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nkey FROM customer), a AS (SELECT * FROM c UNION ALL SELECT id + 1000000, name, nkey FROM c WHERE id % 10 = 0) SELECT id, CASE WHEN id % 4 = 2 AND id < 1000000 THEN upper(name) ELSE name END AS name, nkey FROM a WHERE NOT (id % 4 = 1 AND id < 1000000)",
     "n16_parsed_plans": "SELECT n_nationkey, n_name AS source_table, concat('b', n_nationkey) AS base_table, 2 AS n_tables FROM nation WHERE n_nationkey % 5 <> 0",
-    "s11_entity_profiles": "WITH f AS (SELECT c_mktsegment AS entity, concat('f', c_custkey) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Long' ELSE 'String' END AS t, c_custkey % 3 = 0 AS r, c_custkey AS seq FROM customer WHERE c_custkey < 100 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) SELECT entity, coalesce(string_agg(name || ':' || t, ',' ORDER BY seq) FILTER (NOT r), '') AS columns, coalesce(string_agg(name || '->Other', ',' ORDER BY seq) FILTER (r), '') AS relations FROM f GROUP BY entity",
+    "s11_entity_profiles": "WITH f AS (SELECT c_mktsegment AS entity, concat('f', c_custkey) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Long' ELSE 'String' END AS t, c_custkey % 3 = 0 AS r, c_custkey AS seq FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) SELECT entity, coalesce(string_agg(name || ':' || t, ',' ORDER BY seq) FILTER (NOT r), '') AS columns, coalesce(string_agg(name || '->Other', ',' ORDER BY seq) FILTER (r), '') AS relations FROM f GROUP BY entity",
 }

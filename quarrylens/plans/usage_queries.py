@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.operators import config, graph, normalize, stats, usage
-from quarrylens.plans.bind import bound, duck, rows
+from quarrylens.plans.against import AGAINST
+from quarrylens.plans.bind import bound, rows, stated
 
 FIELDS = "SELECT concat('pkg.', CASE WHEN c_custkey % 9 = 0 THEN 'dto.' ELSE '' END, 'C', c_nationkey) AS class_fqn, concat('f', c_custkey % 30) AS name, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'List<Order>' WHEN 1 THEN 'Repo' WHEN 2 THEN 'Map<String,Item>' ELSE 'long' END AS type_text FROM {customer}"
 TYPES = "SELECT DISTINCT class_fqn AS fqn, class_fqn AS name, 'class' AS kind, right(class_fqn, 1) = '7' AS is_entity FROM {fields}"
-CALLS = "SELECT event_id AS call_id, concat('pkg.C', user_id % 25) AS caller, concat('m', user_id % 7) AS method, CASE WHEN event_id % 3 = 0 THEN concat('this.f', event_id % 30) ELSE concat('f', event_id % 30) END AS scope, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'delete' WHEN 1 THEN 'deleteByName' WHEN 2 THEN 'deleteById' ELSE event_type END AS callee, event_id AS pos FROM {events}"
-LOCALS = "SELECT concat('pkg.C', user_id % 25) AS caller, concat('m', user_id % 7) AS method, concat('f', event_id % 30) AS name, concat('Repo', event_id % 4) AS type_text, event_id AS pos FROM {events} WHERE event_id % 50 = 1"
+CALLS = "SELECT event_id AS call_id, concat('pkg.C', user_id % 25) AS caller, concat('m', user_id % 7) AS method, CASE CAST(event_id % 7 AS INT) WHEN 0 THEN concat('this.f', event_id % 30) WHEN 1 THEN concat('verify(f', event_id % 30, ')') WHEN 2 THEN concat('doReturn(x).when(this.f', event_id % 30, ')') WHEN 3 THEN concat('other.f', event_id % 30) ELSE concat('f', event_id % 30) END AS scope, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'delete' WHEN 1 THEN 'deleteByName' WHEN 2 THEN 'deleteById' ELSE event_type END AS callee, event_id AS pos FROM {events}"
+LOCALS = "SELECT concat('pkg.C', user_id % 40) AS caller, concat('m', user_id % 11) AS method, concat('f', event_id % 15) AS name, concat('Repo', event_id % 4) AS type_text, event_id AS pos FROM {events}"
+REFERENCES = "SELECT event_id AS call_id FROM {events} WHERE event_id % 10 = 4"
 PARAMS = "SELECT concat('pkg.C', n_nationkey) AS caller, 'm3' AS method, concat('f', n_nationkey) AS name, 'Param' AS type_text FROM {nation}"
 ASKED_METHODS = "SELECT 'Repo1' AS class_name, 'delete' AS method UNION ALL SELECT 'Repo', 'deleteById' UNION ALL SELECT 'Param', 'click'"
 MEMBERS = "SELECT concat('pkg.C', s_suppkey % 40) AS class_fqn, concat('m', s_suppkey) AS member, CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN 'EXTENDS' WHEN 1 THEN 'IMPLEMENTS' WHEN 2 THEN 'FIELD' WHEN 3 THEN 'PARAMETER' ELSE 'RETURN_TYPE' END AS kind, concat('pkg.C', s_nationkey) AS base_type FROM {supplier}"
@@ -24,7 +26,6 @@ RESERVED = "SELECT concat('r', n_nationkey) AS repo, 'by3' AS name FROM {nation}
 LOGS = "SELECT event_id AS call_id, event_id % 11 = 0 AS is_print, event_id % 5 = 0 AS in_catch, event_id % 7 = 0 AS in_loop, event_id % 13 = 0 AS in_controller, false AS in_lambda FROM {events}"
 LAYERS = "SELECT concat('p', user_id % 50) AS file, CAST(event_id % 3 AS INT) AS level, event_type AS key, concat('v', event_id) AS value, event_id AS seq FROM {events}"
 DEPENDENCIES = "SELECT DISTINCT concat('p', user_id % 50) AS project, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN event_type ELSE concat('g:a', event_id % 9) END AS ga, CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('1.', event_id % 5) END AS version FROM {events}"
-MANAGED = "SELECT file AS project, key AS ga, max_by(value, level * 1000000000 - seq) AS version FROM {layers} GROUP BY file, key"
 FOUND = "SELECT concat('p', o_custkey) AS project, o_orderkey % 4 AS priority, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('2.', o_custkey % 4, '.', o_orderkey % 4) END AS version FROM {orders}"
 VERSIONS = "SELECT DISTINCT CASE CAST(p_size % 6 AS INT) WHEN 0 THEN concat('Hoxton.SR', p_size) WHEN 1 THEN 'Greenwich.SR3' WHEN 2 THEN concat('2020.0.', p_size) WHEN 3 THEN concat('2021.0.', p_size) WHEN 4 THEN 'Hoxton' ELSE concat('x', p_size) END AS version FROM {part}"
 IMPORTS = "SELECT concat('pkg.C', p_partkey) AS class_fqn, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'javax.persistence.Entity' WHEN 1 THEN 'javax.persistencex.Y' WHEN 2 THEN 'org.springframework.kafka.core.K' WHEN 3 THEN 'com.hazelcast' WHEN 4 THEN 'javax.xml.bind.A' ELSE 'java.util.List' END AS name FROM {part}"
@@ -33,12 +34,18 @@ RESULTS = "SELECT o_custkey AS run, CASE CAST(o_orderkey % 40 AS INT) WHEN 0 THE
 URLS = "SELECT DISTINCT CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'jdbc:h2:mem:x' WHEN 1 THEN concat('jdbc:postgresql://db', p_size, '/x') WHEN 2 THEN 'jdbc:mysql://localhost/x' WHEN 3 THEN '$URL' ELSE 'http://x' END AS url FROM {part}"
 CONTAINER_FIELDS = "SELECT p_partkey AS field, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'PostgreSQLContainer<?>' WHEN 1 THEN 'KafkaContainer' WHEN 2 THEN 'MongoDBContainer' WHEN 3 THEN 'RedisContainer' ELSE 'String' END AS type_text FROM {part}"
 OUTCOMES = "SELECT o_orderpriority AS action FROM {orders}"
-GROOVY = "SELECT o_orderkey AS project, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '$v' WHEN 1 THEN '1.3' ELSE '2.5' END AS version FROM {orders}"
-RUNS = "SELECT event_type AS repo, CAST(event_id % 3 AS BIGINT) AS changed FROM {events}"
-LINES = "SELECT event_id AS line_no, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN upper(event_type) WHEN 1 THEN concat(' ', event_type) ELSE 'repository' END AS repo, CAST(user_id % 5 AS BIGINT) AS queries, CAST(event_id % 2 AS BIGINT) AS annotations FROM {events}"
+GROOVY = """SELECT concat('p', o_custkey) AS project, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'property' WHEN 1 THEN 'groovy' ELSE 'spock' END AS kind,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'spock-core' ELSE concat('a', o_orderkey) END AS artifact,
+ CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN concat('$', chr(123), 'v', chr(125)) WHEN 1 THEN '1.3' WHEN 2 THEN '2.5' WHEN 3 THEN '2.0-groovy-3.0' END AS version FROM {orders}"""
+STEP_RUNS = "SELECT o_orderkey AS run, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN '2.1-2.2' WHEN 1 THEN '2.2-2.3' WHEN 2 THEN '2.3-2.4' ELSE '2.4-2.5' END AS step, o_orderkey % 2 = 0 AS lazy_init, o_orderkey % 3 = 0 AS jakarta, o_custkey % 5 = 0 AS dry_run, o_orderkey % 17 = 0 AS pom_critical FROM {orders}"
+RUNS = "SELECT event_type AS repo, " + ", ".join(f"CAST(event_id % {k + 2} AS BIGINT) AS {c}" for k, c in enumerate(stats.COUNTED)) + " FROM {events}"
+LINES = """SELECT concat('f', user_id % 3) AS file, event_id AS line_no, CASE WHEN event_id % 3 = 2 THEN 'Date' ELSE concat('d', event_id) END AS date,
+ CASE CAST(event_id % 3 AS INT) WHEN 0 THEN upper(event_type) WHEN 1 THEN concat(' ', event_type, chr(65279)) ELSE 'Repository Name' END AS repo,
+ CASE WHEN event_id % 2 = 0 THEN concat(' ', user_id % 5) ELSE CAST(user_id % 5 AS STRING) END AS queries, CAST(event_id % 2 AS STRING) AS annotations FROM {events}"""
 USED = "SELECT concat(conv_id, '-', turn) AS id, CASE CAST(conv_id % 3 AS INT) WHEN 0 THEN 'gemini-2.5-pro' WHEN 1 THEN 'gpt-4o' ELSE 'gemini-1.5-flash' END AS model, CAST(length(text) * 500 AS BIGINT) AS input_tokens, CAST(length(text) AS BIGINT) AS output_tokens, CAST(length(text) * (turn % 3) AS BIGINT) AS cached_tokens FROM {conversations}"
 NAMES = "SELECT c_name AS name FROM {customer}"
 SKIPPED = "SELECT c_name AS name FROM {customer} WHERE c_custkey % 5 = 0"
+TARGETS = "SELECT c_name AS name FROM {customer} WHERE c_custkey % 2 = 0"
 DONE = "SELECT c_name AS name FROM {customer} WHERE c_custkey % 3 = 0"
 PAIRS = "SELECT event_type AS grp, concat('u', user_id % 20) AS value FROM {events}"
 
@@ -46,7 +53,7 @@ QUERIES, ORACLES = {}, {}
 
 
 def _sql(name, op, **inputs):
-    QUERIES[name], ORACLES[name] = bound(op, **inputs)
+    QUERIES[name], ORACLES[name] = bound(op, AGAINST[name], **inputs)
 
 
 _SCOPED = {"calls": CALLS, "locals": LOCALS, "params": PARAMS, "fields": FIELDS, "scoped": usage.SCOPE_TYPES}
@@ -61,7 +68,7 @@ def _table(name, op, rules, names, **inputs):
 
 _sql("u1_collection_fields", usage.COLLECTION_FIELDS, fields=FIELDS, types=TYPES)
 _sql("u2_collection_count", usage.COLLECTION_COUNT, fields=FIELDS, types=TYPES, found=usage.COLLECTION_FIELDS)
-_sql("u3_method_usages", usage.METHOD_USAGES, **_SCOPED, asked=ASKED_METHODS)
+_sql("u3_method_usages", usage.METHOD_USAGES, **_SCOPED, asked=ASKED_METHODS, refs=REFERENCES)
 _sql("u4_scope_types", usage.SCOPE_TYPES, calls=CALLS, locals=LOCALS, params=PARAMS, fields=FIELDS)
 _sql("u5_class_usages", usage.CLASS_USAGES, members=MEMBERS, asked=ASKED_TYPES)
 _sql("u9_annotated", usage.ANNOTATED, annotations=ANNOTATIONS, asked=ASKED_ANNOTATIONS)
@@ -72,7 +79,7 @@ _sql("u16_hard_deletes", usage.HARD_DELETES, **_SCOPED, repos=REPOS, queries=REP
 _sql("u20_admitted_renames", usage.RENAMES, asked=RENAMES, reserved=RESERVED)
 _sql("u21_logger_actions", usage.LOGGER_ACTIONS, calls=LOGS)
 _sql("m1_merged_properties", config.MERGED, layers=LAYERS)
-_sql("m2_managed_versions", config.MANAGED_VERSIONS, layers=LAYERS, dependencies=DEPENDENCIES, managed=MANAGED)
+_sql("m2_managed_versions", config.MANAGED_VERSIONS, layers=LAYERS, dependencies=DEPENDENCIES, managed=config.NEAREST)
 _sql("m3_nearest_management", config.NEAREST, layers=LAYERS)
 _sql("m4_overlaid_plugins", config.OVERLAID, layers=LAYERS)
 _sql("m5_merged_profiles", config.MERGED, layers=LAYERS.replace("event_type AS key", "concat('profile-', event_type) AS key"))
@@ -91,11 +98,10 @@ _table("m18_migrated_annotations", config.MIGRATED, list(config.JUNIT.items()),
 _sql("m19_embedded", config.EMBEDDED, fields=CONTAINER_FIELDS, containers=config.CONTAINERS)
 _sql("m20_outcomes", config.OUTCOMES, outcomes=OUTCOMES)
 _sql("m26_groovy", config.GROOVY, versions=GROOVY)
-_table("m27_phases", normalize.SqlOp("Phases of each step in order.", "SELECT step, place, phase FROM {rules}"), [(v, i + 1, p) for v, ps in config.PHASES.items() for i, p in enumerate(ps)], ("step", "place", "phase"))
 _sql("r1_counters", stats.COUNTERS, runs=RUNS)
 _sql("r2_csv_dedup", stats.DEDUPED, lines=LINES)
 _sql("r5_token_usage", stats.USAGE, used=USED)
-_sql("r7_to_do", stats.TO_DO, types=NAMES, skipped=SKIPPED, done=DONE)
+_sql("r7_to_do", stats.TO_DO, types=NAMES, targets=TARGETS, skipped=SKIPPED, done=DONE)
 _sql("r11_majority", stats.MAJORITY, pairs=PAIRS)
 _table("r3_costs", normalize.SqlOp(stats.COSTS.about, stats.COSTS.sql.replace("{prices}", "{rules}")), [(m, *p) for m, p in stats.PRICES.items()], ("model", "in_low", "in_high", "out_low", "out_high", "cached", "tier"), used=USED)
 
@@ -144,15 +150,16 @@ def _decided(s, d):
 
 def _unasserted(s, d):
     """Tests from which no asserting method is reached over calls, found by reaching backwards from those."""
-    calls = rows(s, d, "SELECT concat('C', n_nationkey) AS target_id, concat('C', (n_nationkey * 2 + 1) % 25) AS source_id FROM {nation}").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    seeds = rows(s, d, "SELECT concat('C', n_nationkey) AS node FROM {nation} WHERE n_nationkey % 9 = 0")
-    return config.WITHOUT_ASSERTION(tests=rows(s, d, "SELECT concat('C', n_nationkey) AS test FROM {nation}"), asserting=graph.reach(calls, seeds))
+    calls = rows(s, d, "SELECT concat('C', CAST(floor(c_custkey / 3) AS BIGINT)) AS source_id, concat('C', c_custkey) AS target_id FROM {customer}")
+    seeds = rows(s, d, "SELECT concat('C', c_custkey) AS node FROM {customer} WHERE c_custkey % 9 = 4")
+    return config.WITHOUT_ASSERTION(tests=rows(s, d, "SELECT concat('C', c_custkey) AS test FROM {customer}"), asserting=graph.reach(calls, seeds))
 
 
 def _placeholders(s, d):
-    v = rows(s, d, "SELECT CAST(n_nationkey AS BIGINT) AS project, CASE WHEN n_nationkey % 2 = 0 THEN concat('1.', n_nationkey) ELSE concat('$', chr(123), 'a', chr(125)) END AS version FROM {nation}".replace("chr(123)", "chr(123)"))
-    p = rows(s, d, "SELECT CAST(n_nationkey AS BIGINT) AS project, 'a' AS key, concat('$', chr(123), 'b', chr(125)) AS value FROM {nation} UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'b', concat('9.', n_nationkey) FROM {nation}")
-    return config.resolved_placeholders(v, p, 3)
+    mark = "concat('$', chr(123), '{}', chr(125))".format
+    v = rows(s, d, f"SELECT c_custkey AS project, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('1.', c_custkey) WHEN 1 THEN {mark('a')} WHEN 2 THEN concat('1.', {mark('a')}, '-', {mark('gone')}) ELSE {mark('loop')} END AS version FROM {{customer}}")
+    p = rows(s, d, f"SELECT c_custkey AS project, 'a' AS key, concat({mark('b')}, '.x') AS value FROM {{customer}} UNION ALL SELECT c_custkey, 'b', concat('9.', c_custkey) FROM {{customer}} UNION ALL SELECT c_custkey, 'loop', {mark('loop')} FROM {{customer}}")
+    return config.resolved_placeholders(v, p)
 
 
 def _asserted(s, d):
@@ -161,9 +168,11 @@ def _asserted(s, d):
 
 
 def _json(s, d):
-    t = rows(s, d, "SELECT n_nationkey, n_name FROM {nation}")
-    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('so:\n```json\n["x"]\n```\nor\n```json\n{"results": "'), "n_name", F.lit('"}\n```'))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("text\n{\"data\": \""), "n_name", F.lit('"}'))).otherwise("none")
-    j = t.select("n_nationkey", stats.extract_json(text).alias("json"))
+    t = rows(s, d, "SELECT c_custkey, c_name FROM {customer}")
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, F.concat(F.lit('so:\n```json\n["x"]\n```\nor\n```json\n{"results": "'), "c_name", F.lit('"}\n```'))).when(k == 1, F.concat(F.lit("text\n{\"data\": \""), "c_name", F.lit('"}')))
+    text = text.when(k == 2, F.concat(F.lit('[not json\n{"z": ["'), "c_name", F.lit('"], "a": [2]}'))).otherwise("none")
+    j = t.select("c_custkey", stats.extract_json(text).alias("json"))
     return j.withColumn("inner_text", stats.unwrapped("json"))
 
 
@@ -174,6 +183,7 @@ QUERIES |= {
     "u15_rewrites": _rewrites,
     "u17_permutations": _permuted,
     "m7_placeholders": _placeholders,
+    "m27_phases": lambda s, d: config.RUN_PHASES(runs=rows(s, d, STEP_RUNS), phases=config.phase_table(s)),
     "m17_without_assertion": _unasserted,
     "m18_message_last": _asserted,
     "m22_test_decisions": _decided,
@@ -184,11 +194,15 @@ ORACLES |= {
     "u6_types": "SELECT p_partkey, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'List' WHEN 1 THEN concat('a.b.B', p_size) WHEN 2 THEN concat('B', p_size) ELSE 'Map' END AS base, p_partkey % 4 IN (1, 2) AND p_size = 7 AS simple, p_partkey % 4 = 1 AND p_size = 7 AS dotted, p_partkey % 4 IN (0, 3) AND p_size = 7 AS contained FROM part",
     "u8_signatures": "SELECT p_partkey, concat('a.C', p_size) AS cls, concat('m', p_partkey) AS method, concat('a.C', p_size, '#m', p_partkey, '(int, B)') AS signature FROM part",
     "u12_inherited_fields": "WITH RECURSIVE x AS (SELECT concat('C', (n_nationkey * 3 + 1) % 25) AS child, concat('C', n_nationkey) AS parent FROM nation), r AS (SELECT concat('T', n_regionkey) AS target, concat('C', n_nationkey) AS cls, n_name AS field FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT r.target, x.child, r.field FROM r JOIN x ON x.parent = r.cls) SELECT * FROM r",
-    "u15_rewrites": f"WITH fields AS ({duck(FIELDS)}), deps AS ({duck(usage.FIELD_DEPENDENCIES.sql)}), calls AS ({duck(CALLS)}), idx AS ({duck(usage.CALL_INDEX.sql)}) SELECT caller, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM idx WHERE repo = 'Repo' AND method IN ('delete', 'deleteById', 'click') GROUP BY caller",
+    "u15_rewrites": stated(AGAINST["u15_rewrites"], fields=FIELDS, calls=CALLS),
     "u17_permutations": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '0>1,1>2,2>0' ELSE '0>0,1>1,2>2' END AS mapping, CASE WHEN n_nationkey % 3 = 0 THEN concat('r', n_nationkey, ',p', n_nationkey, ',q', n_nationkey, ',s', n_nationkey) ELSE concat('p', n_nationkey, ',q', n_nationkey, ',r', n_nationkey, ',s', n_nationkey) END AS moved, n_nationkey % 3 = 0 AS early FROM nation WHERE n_nationkey % 3 < 2",
-    "m7_placeholders": "SELECT CAST(n_nationkey AS BIGINT) AS project, CASE WHEN n_nationkey % 2 = 0 THEN concat('1.', n_nationkey) ELSE concat('9.', n_nationkey) END AS version FROM nation",
-    "m17_without_assertion": "WITH RECURSIVE e AS (SELECT concat('C', n_nationkey) AS callee, concat('C', (n_nationkey * 2 + 1) % 25) AS caller FROM nation), r AS (SELECT concat('C', n_nationkey) AS node FROM nation WHERE n_nationkey % 9 = 0 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.node) SELECT concat('C', n_nationkey) AS test FROM nation WHERE concat('C', n_nationkey) NOT IN (SELECT node FROM r)",
+    "m7_placeholders": "SELECT c_custkey AS project, CASE c_custkey % 4 WHEN 0 THEN '1.' || c_custkey WHEN 1 THEN '9.' || c_custkey || '.x' WHEN 2 THEN '1.9.' || c_custkey || '.x-${gone}' ELSE '${loop}' END AS version FROM customer",
+    "m22_test_decisions": AGAINST["m22_test_decisions"],
+    "m27_phases": stated(AGAINST["m27_phases"], runs=STEP_RUNS),
+    "m17_without_assertion": "WITH RECURSIVE e AS (SELECT c_custkey AS caller, c_custkey // 3 AS callee FROM customer), r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 9 = 4 UNION SELECT e.caller FROM r JOIN e ON e.callee = r.node) SELECT concat('C', c_custkey) AS test FROM customer WHERE c_custkey NOT IN (SELECT node FROM r)",
     "m18_message_last": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a,b,msg' ELSE 'a' END AS args FROM nation",
     "m24_compared_versions": "SELECT p_partkey, CASE WHEN p_size % 5 < p_partkey % 4 THEN -1 WHEN p_size % 5 > p_partkey % 4 THEN 1 WHEN p_partkey % 3 = 2 THEN 1 ELSE 0 END AS cmp FROM part",
-    "r8_json_extraction": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '{"results": "' || n_name || '"}' WHEN 1 THEN '{"data": "' || n_name || '"}' END AS json, CASE WHEN n_nationkey % 3 < 2 THEN n_name END AS inner_text FROM nation""",
+    "r8_json_extraction": """WITH c AS (SELECT c_custkey, c_name, c_custkey % 4 AS k FROM customer) SELECT c_custkey,
+CASE k WHEN 0 THEN '{"results": "' || c_name || '"}' WHEN 1 THEN '{"data": "' || c_name || '"}' WHEN 2 THEN '{"z": ["' || c_name || '"], "a": [2]}' END AS json,
+CASE k WHEN 0 THEN c_name WHEN 1 THEN c_name WHEN 2 THEN '["' || c_name || '"]' END AS inner_text FROM c""",
 }

@@ -427,10 +427,11 @@ class _Reader:
 
 
 def scan(source: str | None) -> Scan:
+    """A file's rows; of one that can't be read to its end, or nests deeper than the interpreter's stack, those up to there."""
     r = _Reader(source or "")
     try:
         return r.file()
-    except (IndexError, StopIteration, KeyError):
+    except (IndexError, StopIteration, KeyError, RecursionError):
         return r.out
 
 
