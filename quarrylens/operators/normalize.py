@@ -147,9 +147,85 @@ def triggers(view: str, dialect: str) -> list[tuple[str, str]]:
     return out
 
 
+def _key_of(table: str, base: str, mappings, keys) -> tuple[str, str]:
+    """(column, view column) that find a view row's rows in a table: the base's first mapped column, else the key to its parent."""
+    if table == base:
+        return next((c, v) for v, t, c in mappings if t == base)
+    key = next((k for k in keys if k[0] == table), None)
+    if key is None:
+        raise ValueError(f"no key leads from {table} to a parent")
+    view = next((v for v, t, c in mappings if (t, c) == (key[2], key[3])), None)
+    if view is None:
+        raise ValueError(f"the view has no column for {key[2]}.{key[3]}")
+    return key[1], view
+
+
+def trigger_statements(base: str, mappings: list[tuple[str, str, str]], keys: list[tuple[str, str, str, str]], event: str, prefix: str = "") -> list[str]:
+    """The statements by which a change of the view reaches its tables: inserts and updates parents first, deletes children first.
+
+    ``prefix`` stands before NEW and OLD. An update sets all but a table's first mapped column; tables with no other have none.
+    """
+    tables = list(dict.fromkeys(t for _, t, _ in mappings))
+    order = ordered(tables, [(k[0], k[2]) for k in keys])
+    out = []
+    for table in reversed(order) if event == "DELETE" else order:
+        pairs = [(v, c) for v, t, c in mappings if t == table]
+        if event == "INSERT":
+            out.append(f"INSERT INTO {table} ({', '.join(c for _, c in pairs)}) VALUES ({', '.join(f'{prefix}NEW.{v}' for v, _ in pairs)});")
+            continue
+        column, view = _key_of(table, base, mappings, keys)
+        if event == "DELETE":
+            out.append(f"DELETE FROM {table} WHERE {column} = {prefix}OLD.{view};")
+        elif pairs[1:]:
+            out.append(f"UPDATE {table} SET {', '.join(f'{c} = {prefix}NEW.{v}' for v, c in pairs[1:])} WHERE {column} = {prefix}NEW.{view};")
+    return out
+
+
+def trigger_bodies(view: str, base: str, mappings, keys, dialect: str) -> list[tuple[str, str, str]]:
+    """(event, DDL, rollback) of a view's three INSTEAD OF triggers: in PostgreSQL a function each, in Oracle a block."""
+    out = []
+    for (head, back), event in zip(triggers(view, dialect), ("INSERT", "UPDATE", "DELETE"), strict=True):
+        body = "".join(f"    {x}\n" for x in trigger_statements(base, mappings, keys, event, "" if dialect == "POSTGRESQL" else ":"))
+        if dialect == "POSTGRESQL":
+            row = "OLD" if event == "DELETE" else "NEW"
+            name = f"trg_{view}_{event.lower()}_fn"
+            ddl = f"CREATE OR REPLACE FUNCTION {name}() RETURNS TRIGGER AS $$\nBEGIN\n{body}    RETURN {row};\nEND;\n$$ LANGUAGE plpgsql;\n{head}"
+        else:
+            ddl = f"{head}\nBEGIN\n{body}END;\n/"
+        out.append((event, ddl, back))
+    return out
+
+
+def view_query(base: str, mappings, keys) -> str:
+    """SELECT of the view over its tables: joined from the base on, whichever end of a key is not joined yet."""
+    joined, left, text = {base}, list(keys), base
+    while k := next((k for k in left if (k[0] in joined) != (k[2] in joined)), None):
+        left.remove(k)
+        new = k[2] if k[0] in joined else k[0]
+        text += f" JOIN {new} ON {k[0]}.{k[1]} = {k[2]}.{k[3]}"
+        joined.add(new)
+    if lost := sorted({t for _, t, _ in mappings} - joined):
+        raise ValueError(f"no key joins {', '.join(lost)} to {base}")
+    return f"SELECT {', '.join(f'{t}.{c} AS {v}' for v, t, c in mappings)} FROM {text}"
+
+
 #: Steps of a plan, in the order they run.
 STEPS = ("create tables", "move data", "drop foreign keys", "rename source", "create view", "insert trigger", "update trigger", "delete trigger")
 
+
+def plan_steps(source: str, base: str, columns: dict[str, list[tuple[str, str, bool, bool]]], mappings, keys, external: list[tuple[str, str]], dialect: str) -> list[tuple[str, str, str]]:
+    """(step, SQL, rollback) of a whole plan in ``STEPS``' order; ``external``: (table, constraint) of keys of other tables into the source."""
+    order = ordered(list(columns), [(k[0], k[2]) for k in keys])
+    old = f"{source}_old"
+    out = [("create tables", create_table(t, columns[t]), f"DROP TABLE {t};") for t in order]
+    tables = {t: [c for c in order if c == t] for t in order}
+    out += [("move data", sql, f"DELETE FROM {t};") for t in order for sql in insert_select(source, mappings, tables[t])]
+    out += [("drop foreign keys", f"ALTER TABLE {t} DROP CONSTRAINT {name};", "") for t, name in external]
+    out.append(("rename source", f"ALTER TABLE {source} RENAME TO {old};", f"ALTER TABLE {old} RENAME TO {source};"))
+    out.append(("create view", f"CREATE VIEW {source} AS {view_query(base, mappings, keys)};", f"DROP VIEW {source};"))
+    return out + [(f"{event.lower()} trigger", ddl, back) for event, ddl, back in trigger_bodies(source, base, mappings, keys, dialect)]
+
+
 VALIDATION = SqlOp("Faults of plans: a mapped table or key end that is not a new table, a base that is none.", """
 SELECT source_table, 'mapping' AS fault, target_table AS name FROM {mappings} m WHERE NOT EXISTS (SELECT 1 FROM {new_tables} n WHERE n.source_table = m.source_table AND n.table_name = m.target_table)
 UNION SELECT source_table, 'key', from_table FROM {keys} k WHERE NOT EXISTS (SELECT 1 FROM {new_tables} n WHERE n.source_table = k.source_table AND n.table_name = k.from_table)

@@ -114,6 +114,6 @@ def unwrapped(json: str):
     v = F.try_parse_json(json)
     picks = [F.try_variant_get(v, f"$.{k}", "string") for k in ("recommendations", "results", "data")]
     # the first field as written: a parsed object keeps its fields by name
-    first = F.element_at(F.json_object_keys(json), 1)
+    first = F.try_element_at(F.json_object_keys(json), F.lit(1))
     under = F.when(F.substring(F.ltrim(json), 1, 1) == "{", F.from_json(json, "map<string,string>")[first])
     return F.coalesce(*picks, under, F.try_variant_get(v, "$", "string"))

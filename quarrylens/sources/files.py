@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 from posixpath import dirname, join, normpath
@@ -36,7 +37,9 @@ def changes_of(xml: str) -> list[tuple]:
 
     def change(e) -> None:
         kind, table = _local(e.tag), e.get("tableName")
-        if kind == "include":
+        if kind == "includeAll":
+            out.append((kind, e.get("relativeToChangelogFile"), e.get("path"), None, False))
+        elif kind == "include":
             out.append(("include", e.get("relativeToChangelogFile"), e.get("file"), None, False))
         elif kind == "changeSet":
             for c in e:
@@ -73,18 +76,25 @@ def changes_of(xml: str) -> list[tuple]:
 
 
 def read_changelog(spark: SparkSession, path: str) -> DataFrame:
-    """All changes of a changelog and its includes, in order; raw SQL as kind ``sql`` with its text as object_name. Changelogs are small, their order is not."""
+    """All changes of a changelog and its includes, in order; raw SQL as kind ``sql`` with its text as object_name. Changelogs are small, their order is not.
+
+    A file that includes itself raises ValueError; includeAll takes a folder's .xml files by name.
+    """
+
+    def below(at: str, relative: str | None, name: str) -> str:
+        if (relative or "").lower() != "true" and "/resources/" in at:
+            return at.split("/resources/")[0] + "/resources/" + name.removeprefix("classpath:").lstrip("/")
+        return normpath(join(dirname(at), name)) if "://" not in at else at[: at.index("://") + 3] + normpath(join(dirname(at[at.index("://") + 3 :]), name))
 
     def load(at: str, seen: tuple) -> list[tuple]:
         out = []
         for kind, table, name, csv, unique in changes_of(spark.read.text(at, wholetext=True).first()[0]):
-            if kind == "include":
-                inner = normpath(join(dirname(at), name))
-                if (table or "").lower() != "true" and "/resources/" in at:
-                    inner = at.split("/resources/")[0] + "/resources/" + name.removeprefix("classpath:").lstrip("/")
-                if inner in seen:
-                    raise ValueError(f"{inner} includes itself")
-                out += load(inner, (*seen, inner))
+            if kind in ("include", "includeAll"):
+                inner = below(at, table, name)
+                for file in [inner] if kind == "include" else listed(spark, inner, ".xml"):
+                    if file in seen:
+                        raise ValueError(f"{file} includes itself")
+                    out += load(file, (*seen, file))
             else:
                 out.append((kind, table, name, csv, unique))
         return out
@@ -92,6 +102,13 @@ def read_changelog(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, *c) for i, c in enumerate(load(path, (path,)))], CHANGE)
 
 
+def listed(spark: SparkSession, folder: str, end: str) -> list[str]:
+    """Files right in a folder whose names have that end, by name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.isFile()]
+    return [f"{folder.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(end)]
+
+
 def resource_root(path):
     """Directory that changelog paths are relative to: main resources, else test resources, else the parent."""
     found = F.regexp_extract(path, r"^(.*?/src/(?:main|test)/resources)(?:/|$)", 1)
@@ -109,35 +126,162 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", "line_no", F.regexp_extract("line", r"^\s*([^=:\s]+)", 1).alias("key"), F.trim(F.regexp_extract("line", r"^\s*[^=:\s]+\s*[=:\s]\s*(.*)$", 1)).alias("value"))
 
 
+_BLOCK = re.compile(r"^([|>])(?:([+-])?([1-9])?|([1-9])([+-]))$")
+_KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s"'\[{&*!|>%@`#-][^\n]*?|-[^\s][^\n]*?)\s*:(?:\s+(.*))?$""")
+
+
+def _uncommented(line: str) -> str:
+    """A line without its comment; a # in quotes, or inside a word, is none."""
+    quote = ""
+    for k, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and line[k - 1] == "\\") else quote
+        elif c in "\"'" and (k == 0 or line[k - 1] in " \t[{,:-("):
+            quote = c
+        elif c == "#" and (k == 0 or line[k - 1] in " \t"):
+            return line[:k].rstrip()
+    return line.rstrip()
+
+
+def _unquoted(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text[1:-1]
+    return "" if text in ("~", "null") else text
+
+
+def _flow(text: str, key: str) -> list[tuple[str, str]]:
+    """Dotted keys of a flow map or list; what isn't closed is read as far as it goes."""
+    out, stack, token, name, quote = [], [], "", None, ""
+
+    def end() -> None:
+        nonlocal token, name
+        kind, base, n = stack[-1]
+        if kind == "[" and token.strip():
+            out.append((f"{base}[{n}]", _unquoted(token)))
+        elif kind == "{" and (name is not None or token.strip()):
+            out.append((f"{base}.{name}".lstrip(".") if name is not None else f"{base}.{_unquoted(token)}".lstrip("."), _unquoted(token) if name is not None else ""))
+        token, name = "", None
+
+    for k, c in enumerate(text):
+        if quote:
+            token += c
+            quote = "" if c == quote and not (quote == '"' and text[k - 1] == "\\") else quote
+        elif c in "\"'" and not token.strip():
+            quote, token = c, token + c
+        elif c in "[{":
+            if stack:
+                kind, base, n = stack[-1]
+                key = f"{base}[{n}]" if kind == "[" else f"{base}.{name}".lstrip(".")
+            stack.append([c, key, 0])
+            token, name = "", None
+        elif stack and c in "]},":
+            closed = token == "" and name is None and k and text[:k].rstrip()[-1:] in ("]", "}")
+            if not closed:
+                end()
+            if c == ",":
+                stack[-1][2] += 1
+            else:
+                stack.pop()
+            token, name = "", None
+        elif stack and c == ":" and stack[-1][0] == "{" and name is None and text[k + 1 : k + 2] in (" ", "", "\t", '"', "'", "[", "{"):
+            name, token = _unquoted(token), ""
+        else:
+            token += c
+    return out
+
+
+def _folded(lines: list[str], style: str, chomp: str) -> str:
+    """A block scalar's text: literal lines, or folded ones; one line end, none or all at its end."""
+    body = list(lines)
+    ends = 0
+    while body and not body[-1].strip():
+        body.pop()
+        ends += 1
+    if style == "|":
+        text = "\n".join(body)
+    else:
+        text = ""
+        for k, line in enumerate(body):
+            blank, before = not line.strip(), body[k - 1].strip() if k else ""
+            text += "\n" if blank else (" " if before and not line.startswith(" ") else "") + line
+    return text + {"-": "", "+": "\n" * (ends + bool(body))}.get(chomp, "\n" if body else "")
+
+
 def flat_yaml(text: str) -> list[tuple[str, str]]:
-    """Dotted keys of block-style YAML: nested maps, lists by index, scalars unquoted; several documents in a row."""
+    """Dotted keys of YAML: nested maps, lists by index, flow maps and lists, block scalars, quotes; several documents in a row.
+
+    Scalars are given as text, null as empty text; anchors and tags stay as they are written.
+    """
     out: list[tuple[str, str]] = []
     path: list[tuple[int, str]] = []
     counts: dict[str, int] = {}
-    for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
-        if not line.strip() or line.strip() in ("---", "..."):
-            if line.strip() == "---":
+    lines, at = text.expandtabs(2).splitlines(), 0
+    plain: tuple[int, int] | None = None  # place in out and indent of a plain scalar that may go on
+
+    def whole(value: str, indent: int) -> str:
+        """A flow value or quoted scalar with the lines that it goes on over."""
+        nonlocal at
+        while at < len(lines):
+            quoted = value[0] in "\"'" and not re.fullmatch(r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'""", value)
+            bare = re.sub(r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'""", "", value)
+            if not quoted and not (value[0] in "[{" and sum(bare.count(c) for c in "[{") > sum(bare.count(c) for c in "]}")):
+                break
+            value = f"{value} {_uncommented(lines[at]).strip()}"
+            at += 1
+        return value
+
+    while at < len(lines):
+        line = _uncommented(lines[at])
+        at += 1
+        body, indent = line.strip(), len(line) - len(line.lstrip())
+        if not body or body in ("---", "..."):
+            if body == "---":
                 path, counts = [], {}
+            plain = None if body else plain
+            continue
+        key = _KEY.match(body)
+        if plain and indent > plain[1] and not key and not body.startswith("- "):
+            out[plain[0]] = out[plain[0]][0], f"{out[plain[0]][1]} {body}".strip()
             continue
-        indent, body = len(line) - len(line.lstrip()), line.strip()
-        while path and path[-1][0] >= indent and not (body.startswith("- ") and path[-1][0] == indent and not path[-1][1].startswith("[")):
+        plain = None
+        while path and path[-1][0] >= indent and not ((body.startswith("- ") or body == "-") and path[-1][0] == indent and not path[-1][1].startswith("[")):
             path.pop()
         while body.startswith("- ") or body == "-":
             base = ".".join(p for _, p in path).replace(".[", "[")
             n = counts[base] = counts.get(base, -1) + 1
             path.append((indent, f"[{n}]"))
-            body, indent = body[1:].strip(), indent + 2
-        m = re.match(r"""("[^"]*"|'[^']*'|[^:\s][^:]*?)\s*:(?:\s+(.*))?$""", body)
-        base = [p for _, p in path]
-        if m:
-            key = m[1].strip("\"'")
-            if m[2]:
-                out.append((".".join([*base, key]).replace(".[", "["), m[2].strip().strip("\"'")))
-            else:
-                path.append((indent, key))
-        elif body:
-            out.append((".".join(base).replace(".[", "["), body.strip("\"'")))
+            rest = body[1:].lstrip()
+            indent, body = indent + (len(body) - len(rest) if rest else 2), rest
+            key = _KEY.match(body)
+        names, value = [p for _, p in path], body
+        if key:
+            names, value = [*names, _unquoted(key[1])], (key[2] or "").strip()
+            if not value:
+                path.append((indent, names[-1]))
+        if not value:
+            continue
+        name = ".".join(names).replace(".[", "[")
+        if block := _BLOCK.match(value):
+            inner = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > indent):
+                inner.append(lines[at])
+                at += 1
+            first = next((x for x in inner if x.strip()), "")
+            depth = indent + int(block[3] or block[4]) if block[3] or block[4] else len(first) - len(first.lstrip())
+            out.append((name, _folded([x[depth:] for x in inner], block[1], block[2] or block[5] or "")))
+        elif value[0] in "[{":
+            out += _flow(whole(value, indent), name)
+        elif value[0] in "\"'":
+            out.append((name, _unquoted(whole(value, indent))))
+        else:
+            out.append((name, _unquoted(value)))
+            plain = len(out) - 1, indent
     return out
 
 
@@ -180,16 +324,27 @@ def pom_of(xml: str) -> dict:
     }
 
 
-def pom_layers(spark: SparkSession, path: str) -> DataFrame:
-    """layers(file, level, kind, key, value, seq) of a POM and its parents by relative path, level 0 the root-most; a chain is short."""
-    chain, at = [], path
-    while at is not None and len(chain) < 50:
-        found = spark.read.text(at, wholetext=True).first() if not chain or _exists(spark, at) else None
-        if found is None:
-            break
-        pom = pom_of(found[0])
+def pom_layers(spark: SparkSession, path: str, repository: str | None = None) -> DataFrame:
+    """layers(file, level, kind, key, value, seq) of a POM and its parents, level 0 the root-most; a chain is short.
+
+    A parent is looked for by its relative path, then in ``repository`` (a local repository's folder) by its coordinates. One that is not
+    there ends the chain; one that leads back into it raises ValueError.
+    """
+    chain, at, seen = [], path, {path}
+    while at is not None:
+        pom = pom_of(spark.read.text(at, wholetext=True).first()[0])
         chain.append(pom)
-        at = normpath(join(dirname(at), pom["relative_path"])) if pom["relative_path"] else None
+        ways = [normpath(join(dirname(at), pom["relative_path"]))] if pom["relative_path"] and "://" not in at else []
+        if "://" in at and pom["relative_path"]:
+            head = at[: at.index("://") + 3]
+            ways = [head + normpath(join(dirname(at.removeprefix(head)), pom["relative_path"]))]
+        if pom["parent"] and repository:
+            group, artifact = pom["parent"].split(":")
+            ways.append(f"{repository}/{group.replace('.', '/')}/{artifact}/{pom['parent_version']}/{artifact}-{pom['parent_version']}.pom")
+        at = next((w for w in ways if _exists(spark, w)), None)
+        if at in seen:
+            raise ValueError(f"{at} is its own parent")
+        seen.add(at)
     rows = [(path, level, kind, k, v, i) for level, pom in enumerate(reversed(chain)) for kind in ("properties", "dependencies", "managed", "plugins", "profiles") for i, (k, v) in enumerate(pom[kind])]
     return spark.createDataFrame(rows, "file string, level int, kind string, key string, value string, seq long")
 

@@ -5,10 +5,20 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file with that text, in any file system that Spark reaches; replaces what is there. For single documents."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_edges(edges: DataFrame, path: str, mode: str = "append") -> None:
     """Edges as Parquet by type, so a type's queries read its files alone; mode overwrite clears the graph first."""
     edges.repartition("type").write.mode(mode).partitionBy("type").parquet(path)

@@ -34,6 +34,61 @@ def test_neighbours_and_upserts(spark):
     assert [tuple(r) for r in graph.upsert_nodes(n).collect()] == [("A", "Class", "b", None)]
 
 
+def brute_cycles(edges):
+    out = set()
+
+    def walk(path):
+        for a, b in edges:
+            if a == path[-1] and b == path[0]:
+                out.add((*path, b))
+            elif a == path[-1] and b > path[0] and b not in path:
+                walk([*path, b])
+
+    for a in {a for a, _ in edges}:
+        walk([a])
+    return out
+
+
+def brute_greedy(cycles_, weight):
+    left, out = set(cycles_), []
+    while left:
+        count = {}
+        for c in left:
+            for e in zip(c, c[1:]):
+                count[e] = count.get(e, 0) + 1
+        best = min(count, key=lambda e: (-count[e] / weight[e], e))
+        out.append(best)
+        left = {c for c in left if best not in zip(c, c[1:])}
+    return out
+
+
+@pytest.mark.parametrize("whole", [0, 100])
+def test_cycles_and_cuts_by_brute_force(spark, monkeypatch, whole):
+    monkeypatch.setattr(cycles, "WHOLE_EDGES", whole)  # none, or all, walked over the cluster
+    rng = random.Random(4)
+    edges = {(g * 10 + rng.randrange(5), g * 10 + rng.randrange(5)) for g in range(4) for _ in range(9)} | {(1, 11), (22, 13)}
+    beans = spark.createDataFrame([(a, b, rng.choice(list(cycles.INJECTION_WEIGHT)), rng.randrange(5)) for a, b in sorted(edges)], "src long, dst long, injection_type string, method_count int")
+    found = cycles.elementary_cycles(beans)
+    want = brute_cycles(edges)
+    assert sorted(tuple(r["cycle"]) for r in found.collect()) == sorted(want)
+    weights = cycles.edge_weights(beans)
+    chosen = cycles.greedy_cut(found, weights).orderBy("step").collect()
+    assert [(r["src"], r["dst"]) for r in chosen] == brute_greedy(want, {(r["src"], r["dst"]): r["weight"] for r in weights.collect()})
+    assert [r["step"] for r in chosen] == list(range(1, len(chosen) + 1))
+
+
+def test_strong_components_by_both_ways(spark):
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(rng.randrange(14), rng.randrange(14)) for _ in range(22)], "src long, dst long")
+    pairs = lambda df: sorted(map(tuple, df.select("node", "component").collect()))
+    assert pairs(cycles.strong_components(edges)) == pairs(cycles._coloured(edges.distinct()))
+
+
+def test_a_long_ring(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 300) for i in range(300)], "src long, dst long")
+    assert [len(r["cycle"]) for r in cycles.elementary_cycles(ring).collect()] == [301]
+
+
 def test_cut_breaks_every_cycle(spark):
     rng = random.Random(8)
     rows = [(rng.randrange(9), rng.randrange(9), rng.choice(list(cycles.INJECTION_WEIGHT)), rng.randrange(5)) for _ in range(18)]
@@ -245,3 +300,96 @@ def test_usage_helpers(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "a"]), (["a"], ["x"]), ([], [])], "old array<string>, new array<string>")
     got = [r[0] for r in df.select(usage.position_mapping("old", "new")).collect()]
     assert got == [{0: 1, 1: 0}, {}, {}]
+
+
+def test_call_index_under_stubs_and_references(spark):
+    calls = spark.createDataFrame([("T", "m1", "repo"), ("T", "m2", "this.repo"), ("T", "m3", "verify(repo)"), ("T", "m4", "doReturn(1).when(this.repo)"), ("T", "m5", "verify(repo, times(2))"), ("T", "m6", "other.repo"), ("T", "m7", "check(repo)")], "caller string, callee string, scope string")
+    deps = spark.createDataFrame([("R", "T", "repo")], "target string, cls string, field string")
+    assert sorted(r["method"] for r in usage.CALL_INDEX(calls=calls, deps=deps).collect()) == ["m1", "m2", "m3", "m4", "m5"]
+
+
+def test_deep_parents_and_placeholders(spark):
+    layers = spark.createDataFrame([("f", level, "k", f"v{level}-{seq}", seq) for level in range(6) for seq in range(2)], "file string, level int, key string, value string, seq int")
+    assert config.MERGED(layers=layers).first()["value"] == "v5-1" and config.NEAREST(layers=layers).first()["version"] == "v5-0"
+    assert config.OVERLAID(layers=layers).first()["value"] == "v5-1"
+    names = [f"a{i}" for i in range(15)]
+    properties = spark.createDataFrame([(1, n, f"${{{m}}}") for n, m in zip(names, names[1:])] + [(1, names[-1], "9"), (1, "x", "${x}"), (2, "y", None)], "project int, key string, value string")
+    versions = spark.createDataFrame([(1, "1.${a0}.${none}-${x}"), (2, "${y}!"), (3, "${z}"), (4, None)], "project int, version string")
+    assert {r["project"]: r["version"] for r in config.resolved_placeholders(versions, properties).collect()} == {1: "1.9.${none}-${x}", 2: "!", 3: "${z}", 4: None}
+
+
+def test_spock_is_raised_and_warned_about(spark):
+    rows = [("p", "spock", "spock-core", "1.3-groovy-2.5"), ("p", "spock", "spock-spring", "${v}"), ("p", "spock", "spock-core", "2.0-groovy-3.0"), ("p", "groovy", "groovy-all", "${v}"), ("p", "groovy", "groovy", "2.4"), ("p", "property", None, "${x}"), ("p", "spock", "a", None)]
+    got = config.GROOVY(versions=spark.createDataFrame(rows, "project string, kind string, artifact string, version string")).collect()
+    assert [(r["raised_to"], r["warns"]) for r in got] == [("2.0-groovy-3.0", True), ("2.0-groovy-3.0", False), (None, False), (None, False), ("3.0.8", False), ("3.0.8", False), (None, False)]
+
+
+def test_responses_without_a_known_field(spark):
+    texts = ['{"issues": ["x"], "a": 1}', '{"data": ["d"]}', '["l"]', "{}", "broken"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(stats.unwrapped("t")).collect()]
+    assert got == ['["x"]', '["d"]', '["l"]', "{}", None]
+
+
+def test_deep_nesting_fails_no_task(spark):
+    sql = "SELECT * FROM a WHERE " + "(" * 5000 + "x = 1" + ")" * 5000
+    code = "class A {" * 4000 + "}" * 4000
+    assert sqlscan.conditions(spark.createDataFrame([(1, sql), (2, "SELECT * FROM b WHERE y = 2")], "query_id long, sql string")).filter("query_id = 2").count() == 1
+    assert java.graph_rows(spark.createDataFrame([("f", code)], "file string, source string")).count() > 0
+
+
+def test_yaml_scalars():
+    text = """
+a: "x # y"   # note
+b: {c: 1, d: [x, 'y, z'], e: {f: "g: h"}}
+t: |
+  one # kept
+
+    two
+u: >-
+  folded
+  text
+list: [
+  1,
+  2
+]
+s:
+- p: 1
+  q: it's plain
+- - nested
+"quoted key": 'it''s'
+url: http://x:80/#frag
+plain: goes
+  on here
+none: ~
+"""
+    assert files.flat_yaml(text) == [
+        ("a", "x # y"), ("b.c", "1"), ("b.d[0]", "x"), ("b.d[1]", "y, z"), ("b.e.f", "g: h"), ("t", "one # kept\n\n  two\n"), ("u", "folded text"), ("list[0]", "1"), ("list[1]", "2"),
+        ("s[0].p", "1"), ("s[0].q", "it's plain"), ("s[1][0]", "nested"), ("quoted key", "it's"), ("url", "http://x:80/#frag"), ("plain", "goes on here"), ("none", ""),
+    ]
+    for broken in ("a: {b: 1", "a: [", 'a: "x', ": x", "- ", "a: }", "{", "a: |", "a: [}]"):
+        files.flat_yaml(broken)
+
+
+def test_trigger_bodies_and_plan():
+    mappings = [("id", "patient", "id"), ("name", "patient", "name"), ("patient_id", "address", "patient_id"), ("street", "address", "street")]
+    keys = [("address", "patient_id", "patient", "id")]
+    assert normalize.trigger_statements("patient", mappings, keys, "INSERT", ":")[0] == "INSERT INTO patient (id, name) VALUES (:NEW.id, :NEW.name);"
+    assert normalize.trigger_statements("patient", mappings, keys, "UPDATE") == ["UPDATE patient SET name = NEW.name WHERE id = NEW.id;", "UPDATE address SET street = NEW.street WHERE patient_id = NEW.id;"]
+    assert normalize.trigger_statements("patient", mappings, keys, "DELETE") == ["DELETE FROM address WHERE patient_id = OLD.id;", "DELETE FROM patient WHERE id = OLD.id;"]
+    columns = {"address": [("patient_id", "Long", True, False), ("street", "String", False, True)], "patient": [("id", "Long", True, False), ("name", "String", False, True)]}
+    steps = normalize.plan_steps("old_patient", "patient", columns, mappings, keys, [("visit", "fk_visit")], "POSTGRESQL")
+    assert list(dict.fromkeys(s for s, _, _ in steps)) == list(normalize.STEPS)
+    assert "JOIN address ON address.patient_id = patient.id" in next(sql for s, sql, _ in steps if s == "create view")
+    with pytest.raises(ValueError, match="no key leads"):
+        normalize.trigger_statements("patient", mappings, [], "DELETE")
+
+
+def test_changelogs_and_poms_that_include_themselves(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<databaseChangeLog><include file="a.xml" relativeToChangelogFile="true"/></databaseChangeLog>')
+    with pytest.raises(ValueError, match="includes itself"):
+        files.read_changelog(spark, str(tmp_path / "a.xml"))
+    (tmp_path / "x").mkdir()
+    for at in ("pom.xml", "x/pom.xml"):
+        (tmp_path / at).write_text(f"<project><parent><groupId>g</groupId><artifactId>p</artifactId><version>1</version><relativePath>{'x/pom.xml' if at == 'pom.xml' else '../pom.xml'}</relativePath></parent><artifactId>c</artifactId></project>")
+    with pytest.raises(ValueError, match="its own parent"):
+        files.pom_layers(spark, str(tmp_path / "x/pom.xml"))
