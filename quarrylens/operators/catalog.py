@@ -21,13 +21,16 @@ ADDED = SqlOp(
 FROM {changes} WHERE kind IN ('createIndex', 'addPrimaryKey', 'addUniqueConstraint', 'createTable', 'createTableUnique', 'addColumnKey', 'addColumnUnique') AND coalesce(trim(column_csv), '') <> ''""",
 )
 REPLAYED = SqlOp(
-    "The catalog after all changes: an entry stays unless a later drop matches it; added again after a drop, it is there again. Index drops match by name, in any table if none is named; key drops without a name match every key; unique drops need a name.",
-    """SELECT table_name, index_type, index_name, column_csv, min(seq) AS seq FROM {added} a
-WHERE NOT EXISTS (SELECT 1 FROM {changes} d WHERE d.kind = 'dropIndex' AND lower(d.table_name) = a.table_name AND d.object_name = a.index_name AND a.index_type IN ('INDEX', 'UNIQUE_INDEX') AND d.seq > a.seq)
-  AND NOT EXISTS (SELECT 1 FROM {changes} d WHERE d.kind = 'dropIndex' AND d.table_name IS NULL AND d.object_name = a.index_name AND a.index_type IN ('INDEX', 'UNIQUE_INDEX') AND d.seq > a.seq)
-  AND NOT EXISTS (SELECT 1 FROM {changes} d WHERE d.kind = 'dropPrimaryKey' AND lower(d.table_name) = a.table_name AND a.index_type = 'PRIMARY_KEY' AND (d.object_name IS NULL OR d.object_name = a.index_name) AND d.seq > a.seq)
-  AND NOT EXISTS (SELECT 1 FROM {changes} d WHERE d.kind = 'dropUniqueConstraint' AND lower(d.table_name) = a.table_name AND a.index_type = 'UNIQUE_CONSTRAINT' AND d.object_name = a.index_name AND d.seq > a.seq)
-GROUP BY table_name, index_type, index_name, column_csv""",
+    "The catalog after all changes: an entry stays unless a later drop matches it; added again after a drop, it is there again. Index drops match by name, in any table if none is named; key drops without a name match every key; unique drops need a name. Of drops alike the last one decides, so an entry meets at most two rows.",
+    """
+WITH drops AS (SELECT kind, lower(table_name) AS t, object_name AS o, max(seq) AS last FROM {changes} WHERE kind IN ('dropIndex', 'dropPrimaryKey', 'dropUniqueConstraint') GROUP BY kind, lower(table_name), object_name),
+  entries AS (SELECT *, CASE WHEN index_type IN ('INDEX', 'UNIQUE_INDEX') THEN 'dropIndex' WHEN index_type = 'PRIMARY_KEY' THEN 'dropPrimaryKey' WHEN index_type = 'UNIQUE_CONSTRAINT' THEN 'dropUniqueConstraint' END AS by FROM {added}),
+  wide AS (SELECT kind, coalesce(t, o) AS k, last FROM drops WHERE kind = 'dropIndex' AND t IS NULL OR kind = 'dropPrimaryKey' AND t IS NOT NULL AND o IS NULL)
+SELECT a.table_name, a.index_type, a.index_name, a.column_csv, min(a.seq) AS seq FROM entries a
+LEFT JOIN drops d ON d.kind = a.by AND d.t = a.table_name AND d.o = a.index_name
+LEFT JOIN wide w ON w.kind = a.by AND w.k = CASE a.by WHEN 'dropIndex' THEN a.index_name ELSE a.table_name END
+WHERE NOT coalesce(d.last > a.seq, false) AND NOT coalesce(w.last > a.seq, false)
+GROUP BY a.table_name, a.index_type, a.index_name, a.column_csv""",
 )
 REPORT = SqlOp(
     "The catalog in report order: table, then keys, unique entries, indexes.",

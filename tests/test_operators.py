@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import advisor, catalog, config, cycles, graph, normalize, sqlscan, stats, usage
+from quarrylens.plans import registry
 from quarrylens.sources import files, java, sinks
 
 NODES = "signature string, node_type string, name string, fqn string"
@@ -114,6 +115,22 @@ def test_catalog_replay(spark):
     assert replayed(spark, rows) == [("users", "INDEX", "<unnamed>", "name"), ("users", "INDEX", "i2", "a,b"), ("users", "UNIQUE_CONSTRAINT", "uk", "email")]
 
 
+def test_catalog_replay_takes_the_last_drop(spark):
+    rows = [("createIndex", "t", "i", "a", False), ("dropIndex", "T", "i", None, None), ("createIndex", "t", "i", "a", False), ("dropIndex", "t", "other", None, None)]
+    rows += [("addPrimaryKey", "t", "pk", "id", False), ("dropPrimaryKey", "t", "pk2", None, None), ("addPrimaryKey", "u", "pk", "id", False), ("dropPrimaryKey", "u", None, None, None), ("dropPrimaryKey", None, None, None, None)]
+    assert replayed(spark, rows) == [("t", "INDEX", "i", "a"), ("t", "PRIMARY_KEY", "pk", "id")]
+    assert [r["seq"] for r in catalog.replay(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], CHANGES)).orderBy("seq").collect()] == [2, 4]
+
+
+# the catalog's queries meet an entry with drops by keys alone: no join compares each with each of its name
+@pytest.mark.parametrize("name", ["c1_catalog_replay"])
+def test_replay_joins_by_keys_alone(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if " Join " in f" {line}"]
+    assert len(joins) >= 2
+    assert not [line for line in joins if " > " in line or " < " in line]
+
+
 def test_raw_sql_changes(spark):
     sql = "CREATE INDEX idx_orders_customer ON orders (customer_id); CREATE UNIQUE INDEX idx_orders_date ON orders (order_date, customer_id);"
     got = catalog.raw_sql_changes(spark.createDataFrame([(1, sql), (2, "drop index concurrently if exists idx_x;"), (3, "not sql (")], "seq long, sql string")).collect()
