@@ -123,7 +123,7 @@ def test_catalog_replay_takes_the_last_drop(spark):
 
 
 # the catalog's queries meet an entry with drops by keys alone: no join compares each with each of its name
-@pytest.mark.parametrize("name", ["c1_catalog_replay", "c11_catalog_report", "d1_cardinality", "d4_unique_columns", "d6_prefix_coverage"])
+@pytest.mark.parametrize("name", ["c1_catalog_replay", "c11_catalog_report", "d1_cardinality", "d4_unique_columns", "d6_prefix_coverage", "d5_leading_index"])
 def test_replay_joins_by_keys_alone(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if " Join " in f" {line}"]
