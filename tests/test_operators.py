@@ -144,6 +144,14 @@ def test_cardinality(spark):
     assert {(r["table_name"], r["column_name"]): r["cardinality"] for r in out.collect()} == {a[:2]: a[3] for a in asked}
 
 
+def test_external_keys_of_one_name_are_dealt_over_tasks(spark):
+    tables = spark.createDataFrame([("s", "b0")] * 2345 + [("s", "b1"), ("s", None), ("s", "b2")], "source_table string, table_name string")
+    related = [("e", f"f{i}", "b0") for i in range(40)] + [("e", "g", "b1"), ("e", "g", "b1"), ("b2", "self", "b2"), (None, "x", "b2"), ("e", "y", None), ("e", "z", "b9")]
+    got = normalize.EXTERNAL_KEYS(new_tables=tables, relationships=spark.createDataFrame(related, "entity string, field string, target string").coalesce(1))
+    assert {(r["table_name"], r["entity"], r["field"]): r["count"] for r in got.groupBy("table_name", "entity", "field").count().collect()} == {("b0", "e", f"f{i}"): 2345 for i in range(40)} | {("b1", "e", "g"): 2}
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 40 * 2345 / 2
+
+
 @pytest.mark.parametrize(
     ("composites", "singles", "removed"),
     [
