@@ -61,7 +61,7 @@ CARDINALITY = SqlOp(
   ELSE 'MEDIUM' END AS cardinality FROM {columns} c""",
 )
 KEY_COLUMNS = SqlOp("(table_name, column_name) in a primary key, at any place.", "SELECT DISTINCT table_name, column_name FROM {members} WHERE index_type = 'PRIMARY_KEY'")
-UNIQUE_COLUMNS = SqlOp("(table_name, column_name) in a unique constraint or index.", "SELECT DISTINCT table_name, column_name FROM {members} WHERE index_type IN ('UNIQUE_CONSTRAINT', 'UNIQUE_INDEX')")
+UNIQUE_COLUMNS = SqlOp("(table_name, column_name) in a unique constraint or index.", "SELECT table_name, column_name FROM {members} GROUP BY table_name, column_name HAVING bool_or(index_type IN ('UNIQUE_CONSTRAINT', 'UNIQUE_INDEX'))")
 HAS_LEADING = SqlOp("Asked (table_name, column_name) that lead an index.", "SELECT a.table_name, a.column_name FROM {asked} a WHERE EXISTS (SELECT 1 FROM {members} m WHERE m.table_name = lower(a.table_name) AND m.column_name = lower(a.column_name) AND m.place = 1)")
 COVERED = SqlOp(
     "Asked (table_name, column_csv) that an index starts with, in order. Each index gives its starts, so tables with many are no products.",

@@ -131,6 +131,15 @@ def test_replay_joins_by_keys_alone(spark, name):
     assert not [line for line in joins if " > " in line or " < " in line]
 
 
+# what kind an entry is, is asked after its columns are grouped: on the changes, each row would work its kind out again and again
+@pytest.mark.parametrize("name", ["d4_unique_columns"])
+def test_kinds_of_entries_are_not_asked_of_changes(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if " Filter " in f" {line}"]
+    assert [line for line in filters if "createIndex" in line]
+    assert not [line for line in filters if "createIndex" in line and "UNIQUE_INDEX" in line]
+
+
 def test_raw_sql_changes(spark):
     sql = "CREATE INDEX idx_orders_customer ON orders (customer_id); CREATE UNIQUE INDEX idx_orders_date ON orders (order_date, customer_id);"
     got = catalog.raw_sql_changes(spark.createDataFrame([(1, sql), (2, "drop index concurrently if exists idx_x;"), (3, "not sql (")], "seq long, sql string")).collect()
