@@ -54,7 +54,7 @@ CARDINALITY = SqlOp(
   WHEN c.table_name IS NULL OR c.column_name IS NULL THEN 'MEDIUM'
   WHEN EXISTS (SELECT 1 FROM {high} h WHERE h.name = lower(c.column_name)) THEN 'HIGH'
   WHEN EXISTS (SELECT 1 FROM {low} l WHERE l.name = lower(c.column_name)) THEN 'LOW'
-  WHEN EXISTS (SELECT 1 FROM {members} m WHERE m.table_name = lower(c.table_name) AND m.column_name = lower(c.column_name) AND m.index_type <> 'INDEX') THEN 'HIGH'
+  WHEN EXISTS (SELECT 1 FROM (SELECT table_name, column_name FROM {members} GROUP BY table_name, column_name HAVING bool_or(index_type <> 'INDEX')) m WHERE m.table_name = lower(c.table_name) AND m.column_name = lower(c.column_name)) THEN 'HIGH'
   WHEN upper(c.data_type) IN ('BOOLEAN', 'ENUM') THEN 'LOW'
   WHEN c.data_type IS NULL AND (left(lower(c.column_name), 3) = 'is_' OR left(lower(c.column_name), 4) IN ('has_', 'can_') OR left(lower(c.column_name), 7) = 'should_'
     OR right(lower(c.column_name), 5) = '_flag' OR right(lower(c.column_name), 8) = '_enabled' OR right(lower(c.column_name), 7) = '_active' OR lower(c.column_name) IN ('active', 'enabled', 'deleted', 'visible')) THEN 'LOW'

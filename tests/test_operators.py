@@ -132,7 +132,7 @@ def test_replay_joins_by_keys_alone(spark, name):
 
 
 # what kind an entry is, is asked after its columns are grouped: on the changes, each row would work its kind out again and again
-@pytest.mark.parametrize("name", ["d4_unique_columns"])
+@pytest.mark.parametrize("name", ["d4_unique_columns", "d1_cardinality"])
 def test_kinds_of_entries_are_not_asked_of_changes(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if " Filter " in f" {line}"]
