@@ -93,13 +93,35 @@ class Alphabet:
         return out
 
 
+#: Characters whose n-grams a task holds at once: a few arrays of 8 bytes each.
+AT_ONCE = 1 << 18
+
+
+def _counted(texts, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of ``texts`` in order, and their counts; ``AT_ONCE`` characters at a time, so memory follows the different ones."""
+    gram, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    texts = [t for t in texts if t]
+    for k, text in enumerate(texts):
+        for at in range(0, len(text), AT_ONCE):
+            # each piece after the first brings the characters before it, and leaves out the n-grams of those alone
+            before = min(at, ORDER - 1)
+            held.append(alphabet.grams(text[at - before : at + AT_ONCE])[before:])
+            if sum(map(len, held)) >= AT_ONCE or (k + 1 == len(texts) and at + AT_ONCE >= len(text)):
+                new, n = np.unique(np.concatenate(held), return_counts=True)
+                gram, where = np.unique(np.concatenate([gram, new]), return_inverse=True)
+                c = np.bincount(where, np.concatenate([c, n]), len(gram)).astype(np.int64)
+                held = []
+    return gram, c
+
+
 def count_tables(text: DataFrame, alphabets: dict[str, Alphabet]) -> DataFrame:
     """(lang, gram, c): counts of the n-grams of order ORDER in every model: of each half and of both, a language's own and that of all."""
 
     def run(batches):
         for pdf in batches:
             for (half, lang), own in [*pdf.groupby(["half", "lang"]), *(((h, ALL), g) for h, g in pdf[pdf["lang"] != ALL].groupby("half"))]:
-                gram, c = np.unique(np.concatenate([alphabets[lang].grams(t) for t in own["text"]]), return_counts=True)
+                gram, c = _counted(own["text"], alphabets[lang])
                 yield pd.DataFrame({"lang": f"{half}:{lang}", "gram": gram, "c": c})
 
     halves = text.mapInPandas(run, "lang string, gram long, c long")
@@ -181,7 +203,7 @@ def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, among[at] == wanted
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)  # a worker goes on to other models, and would keep this one
 def _tables(packed: bytes) -> dict[str, Table]:
     return {lang: Table(*parts) for lang, parts in pickle.loads(packed).items()}
 

@@ -216,7 +216,7 @@ def _spanning(ok: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096, at_once: int = 1 << 20) -> np.ndarray:
+def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096, at_once: int = 1 << 17) -> np.ndarray:
     """Sizes of the intersections of each sorted set of ``a`` with each of ``b``, by matrix products over some shingles at a time."""
     sets = [x.view(np.uint64) for x in (*a, *b)]
     out = np.zeros((len(a), len(b)), np.float32)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -134,6 +135,20 @@ def brute_kneser_ney(symbols, size):
     return lambda g: p(tuple(g), quality.ORDER)
 
 
+def test_counting_holds_a_part_of_the_texts_at_once():
+    rng = random.Random(3)
+    alphabet = quality.Alphabet({c: i for i, c in enumerate("abcdefgh ", 1)})
+    texts = ["".join(rng.choices("abcdefgh x", k=n)) for n in (2_000_000, 1, 3, 700_000, quality.AT_ONCE, *[3000] * 300)]
+    want = np.unique(np.concatenate([alphabet.grams(t) for t in texts]), return_counts=True)
+    tracemalloc.start()
+    got = quality._counted([None, "", *texts, ""], alphabet)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((g == w).all() and len(g) == len(w) for g, w in zip(got, want, strict=True))
+    assert peak < 30e6  # the n-grams of all texts are 29 MB, in each of several arrays
+    assert [len(x) for x in quality._counted([], alphabet)] == [0, 0]
+
+
 def test_model_is_kneser_ney(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcd ") for _ in range(300))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -351,6 +352,18 @@ def test_a_pair_at_the_very_similarity_is_linked(spark):
     assert sorted(map(tuple, simhash.similar_documents(df).select("doc_id", "component_id").collect())) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_a_block_is_compared_in_little_memory():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 1 << 64, 2000, dtype=np.uint64)).view(np.int64) for _ in range(simhash.BLOCK)] for _ in range(2))
+    b[5] = np.sort(np.concatenate([a[7][:1500], b[5][:500]]).view(np.uint64)).view(np.int64)
+    tracemalloc.start()
+    got = simhash._common(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[7, 5] == 1500 and got.sum() == 1500
+    assert peak < 25e6
+
+
 def test_blocks_give_links_enough():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
