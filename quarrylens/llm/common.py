@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -25,15 +26,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Seconds between two collections of the driver's garbage, at least, and how often as long as the last took they are apart.
+COLLECT_S, COLLECT_APART = 4.0, 30
+_due = 0.0
+
+
+def collected(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, if that is due: shuffle files, broadcasts and checkpoints stay until it does.
+
+    By itself it collects the old ones seldom, and its heap grows to its limit first. Many small stages leave much of both.
+    """
+    global _due
+    began = time.monotonic()
+    if began >= _due:
+        spark.sparkContext._jvm.System.gc()
+        ended = time.monotonic()
+        _due = ended + max(COLLECT_S, COLLECT_APART * (ended - began))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, which lost executors don't take along."""
     shared_folder(df.sparkSession)
+    collected(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again; for rows that hold text."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    collected(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -221,6 +221,8 @@ class Model:
                 own = held.filter(pa.compute.equal(held["lang"], name)).drop_columns("lang").sort_by("gram")
                 k = own["k"].to_numpy()
                 parts[name] = alphabets[name[2:]], {n: tuple(own[c].to_numpy()[k == n] for c in ("gram", "p", "gamma")) for n in range(1, ORDER + 1)}
+            del held, own, k
+            pa.default_memory_pool().release_unused()  # else the driver keeps the room of all rows
             self.packed = spark.sparkContext.broadcast(pickle.dumps(parts, 5))
 
     def scored(self, docs: DataFrame, text_col: str, lang, into: str, part=WHOLE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import line_dedup, mtree, simhash
+from quarrylens.llm import common, line_dedup, mtree, simhash
 from quarrylens.llm.graphs import components
 
 DOCS = "doc_id long, text string, size int, _th string, fingerprint string"  # extra columns, clashing names
@@ -403,3 +404,37 @@ def test_rows_of_null_and_repeated_ids_are_kept_by_text(spark):
     df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], DOCS)
     kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str)
     assert kept == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (3, text[4])], key=str)
+
+
+def test_checkpoints_let_go_of_the_shuffles_before_them(spark, monkeypatch):
+    for name in ("COLLECT_S", "COLLECT_APART", "_due"):
+        monkeypatch.setattr(common, name, 0.0)
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    df, before = spark.range(1000), held.size()
+    for k in range(12):
+        df = common.cut(df.groupBy((F.col("id") * 7 % (500 + k)).alias("id")).count().select("id"))
+    for _ in range(50):  # the cleaner is a thread of its own
+        if held.size() <= before + 4:
+            break
+        time.sleep(0.1)
+    assert held.size() <= before + 4  # 12 were made; the last ones are still in use
+
+
+def test_collections_are_apart(spark, monkeypatch):
+    calls, now = [], [100.0]
+
+    class Driver:
+        class sparkContext:
+            class _jvm:
+                class System:
+                    @staticmethod
+                    def gc():
+                        calls.append(now[0])
+                        now[0] += 0.5
+
+    monkeypatch.setattr(common, "_due", 0.0)
+    monkeypatch.setattr(common.time, "monotonic", lambda: now[0])
+    for _ in range(40):
+        common.collected(Driver)
+        now[0] += 1
+    assert calls == [100.0, 115.5, 131.0]  # 30 times the 0.5 seconds that each took
