@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import WORD, cut, fresh, stored
+from quarrylens.llm.common import WORD, cut, fresh, parted, stored
 
 #: A boundary falls after a line by this chance: chunks have so many lines on average.
 BOUNDARY = 16
@@ -82,8 +82,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, boundary: int =
     again = cut(chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     places = F.struct("hash", "a", "b", "fa", "fb", "wa", "wb", "alone")
     found = _going(chunks.join(again, "hash"), long_words).groupBy("id", "th").agg(F.collect_list(places).alias("chunks"))
-    found = found.select(F.col("id").alias("fid"), F.col("th").alias("fth"), "chunks")
-    whole = marked.join(found, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid"))).withColumn("lines", _lines(F.col("text")))
+    found = cut(found.select(F.col("id").alias("fid"), F.col("th").alias("fth"), "chunks"))
+    # a text goes through a shuffle only if it may have such chunks
+    whole = parted(marked, ("id", "th"), found, ("fid", "fth"))[0].join(found, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid"))).withColumn("lines", _lines(F.col("text")))
     inked = F.filter(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1), lambda x: x.rlike(INK))
     piece = whole.select("id", "th", "lines", F.explode("chunks").alias("c")).select("id", "th", "c.*", F.array_join(inked, "\n").alias("bytes"))
     piece = stored(piece, "line-chunks")
@@ -93,10 +94,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, boundary: int =
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boundary: int = BOUNDARY, long_words: int = LONG_WORDS, removed_col: str | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with repeated chunks out of ``text_col``; ``removed_col``: the number of lines that went."""
+    """``docs`` with repeated chunks out of ``text_col``; ``removed_col``: the number of lines that went.
+
+    ``docs`` is read several times, and must give the same rows each time.
+    """
     th, sid, sth, spans, lines, keep = fresh(docs, "th", "sid", "sth", "spans", "lines", "keep")
-    gone = repeated_spans(docs, id_col, text_col, boundary, long_words, least_words).select(F.col("id").alias(sid), F.col("th").alias(sth), F.col("spans").alias(spans))
-    out = docs.withColumn(th, F.xxhash64(text_col))
+    gone = repeated_spans(docs, id_col, text_col, boundary, long_words, least_words)
+    gone = cut(gone.select(F.col("id").alias(sid), F.col("th").alias(sth), F.col("spans").alias(spans)))
+    out, same = parted(docs.withColumn(th, F.xxhash64(text_col)), (id_col, th), gone, (sid, sth))
     out = out.join(gone, (F.col(th) == F.col(sth)) & F.col(id_col).eqNullSafe(F.col(sid)), "left")
     all_lines = _lines(F.col(text_col))
     out = out.withColumn(lines, F.when(F.col(spans).isNotNull(), all_lines))
@@ -105,6 +110,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_join(F.transform(keep, lambda i: F.element_at(F.col(lines), i + 1)), "\n")
     text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(left)
     names = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
+    kept = [F.col(c) for c in docs.columns]
     if removed_col:
         names.append(F.coalesce(F.when(F.col(spans).isNotNull(), F.size(lines) - F.size(keep)), F.lit(0)).cast("long").alias(removed_col))
-    return out.select(*names)
+        kept.append(F.lit(0).cast("long").alias(removed_col))
+    # what loses no line stays where it was read
+    return out.select(*names).union(same.select(*kept))

@@ -298,6 +298,41 @@ def test_some_copy_of_every_line_stays(spark):
     assert {x for _, t in rows for x in t.split("\n")} == {x for _, t, _ in got for x in t.split("\n") if x}
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written for shuffles, by its id."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+@pytest.mark.parametrize("most", [common.PRINTED_KEYS, 0])
+def test_texts_that_lose_no_line_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "PRINTED_KEYS", most)
+    rng = random.Random(5)
+    own = [rng.randbytes(8000).hex() for _ in range(200)]
+    rows = [(i, f"{t}\nits end" if i % 50 else "\n".join([t, *PASSAGE])) for i, t in enumerate(own)] + [(None, "its end"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    before = shuffled(spark)
+    got = {tuple(r) for r in line_dedup.dedup_lines(df, removed_col="gone").collect()}
+    assert got == {(i, own[i], 3) if i in (50, 100, 150) else (i, t, 0) for i, t in rows}
+    written = sum(b for stage, b in shuffled(spark).items() if stage not in before)
+    assert written < sum(map(len, own)) / 5 or not most  # four texts have the passage; without prints all go twice
+
+
+@pytest.mark.parametrize("most", [common.PRINTED_KEYS, 0])
+def test_rows_are_parted_by_keys_and_none_is_lost(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "PRINTED_KEYS", most)
+    rows = spark.createDataFrame([(i, str(i), i, 1) for i in range(3000)] + [(None, "x", -1, 1), (None, "y", -2, 1), (5, None, -3, 1)], "id long, t string, shelf int, _prints int")
+    keys = common.cut(rows.filter("id % 3 = 0 OR t IS NULL OR t = 'x'").select(F.col("id").alias("a"), F.col("t").alias("b")))
+    some, none = (sorted(map(tuple, part.collect()), key=str) for part in common.parted(rows, ("id", "t"), keys, ("a", "b")))
+    assert sorted(some + none, key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert not [r for r in none if r[1] is None or r[1] == "x" or r[0] is not None and r[0] % 3 == 0]
+    assert len(some) < 1002 + 20 or not most
+    empty = common.parted(rows, ("id", "t"), common.cut(keys.filter("a < 0")), ("a", "b"))
+    assert [part.count() for part in empty] == [0, 3003] or not most
+
+
 def test_line_dedup_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
