@@ -161,6 +161,16 @@ def test_external_keys_of_one_name_are_dealt_over_tasks(spark):
     assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 40 * 2345 / 2
 
 
+def test_external_keys_of_many_rows_are_no_exploded_copies(spark):
+    sizes = {"b1": 1, "b2": 999, "b3": 1000, "b4": 1001, "b5": 99_999, "b6": 100_000, "b7": 101_000, "b8": 200_001}
+    tables = spark.createDataFrame(list(sizes.items()), "table_name string, n long").selectExpr("'s' AS source_table", "table_name", "explode(sequence(1, n)) AS i").drop("i")
+    related = [("e", "f", t) for t in sizes] + [("e", "g", "b4"), ("e", "g", "b4"), ("b8", "self", "b8")]
+    got = normalize.EXTERNAL_KEYS(new_tables=tables, relationships=spark.createDataFrame(related, "entity string, field string, target string"))
+    assert {tuple(r)[:3]: r["count"] for r in got.groupBy("table_name", "entity", "field").count().collect()} == {(t, "e", "f"): n for t, n in sizes.items()} | {("b4", "e", "g"): 2002}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize(
     ("composites", "singles", "removed"),
     [
